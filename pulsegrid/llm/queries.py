@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_decode
 from .common import table
+from .decontamination import contaminated
+from .pii import pseudonymise
+from .quality_rules import clean_lines
+from .simhash_dedup import near_duplicates
 from .substring_dedup import remove_repeats
 
 
@@ -18,6 +23,38 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", sha256_hex("kept_text").alias("kept_sha256"))
 
 
-QUERIES = {"op4_substring_dedup": op4_substring_dedup}
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = clean_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_kept_words")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), key="example key")
+
+
+QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op6_bpe": op6_bpe,
+    "op7_decontamination": op7_decontamination,
+    "op8_simhash_dedup": op8_simhash_dedup,
+    "op10_pii": op10_pii,
+}
 
 ORACLES: dict[str, str] = {}
