@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import html_extract, language_id, toxicity
 from .bpe import encode_decode
 from .common import table
 from .decontamination import contaminated
@@ -12,12 +13,26 @@ from .pii import pseudonymise
 from .quality_rules import clean_lines
 from .simhash_dedup import near_duplicates
 from .substring_dedup import remove_repeats
+from .url_filter import judge_urls
 
 
 def sha256_hex(column: str):
     return F.sha2(F.col(column).cast("binary"), 256)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories that the labels name, in chain order: low quality (quality 0), then toxic. Fitted on 10,000 labelled rows at most."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    links = toxicity.fit_chain(*toxicity.training_rows(docs, labels, ["low_quality", "toxic"], "doc_id", "text", most_rows=10_000))
+    return toxicity.predict_chain(docs, links)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    block = ["example.com/en/", "net/es/", "net/fr/"]
+    return judge_urls(table(spark, sf_dir, "pages"), block=block, allow=["com/", "www.example.com/en/"])
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", sha256_hex("kept_text").alias("kept_sha256"))
@@ -28,6 +43,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_kept_words")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on about 3,000 documents a language of those whose crc32(doc_id) mod 4 is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = language_id.fit(docs.where(~held_out), "doc_id", "text", "lang", most_per_language=3_000)
+    out = language_id.predict_languages(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,16 +68,26 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block classifier fitted on about 500 pages."""
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages, "html", most_pages=500))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"), key="example key")
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,
     "op7_decontamination": op7_decontamination,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_html_extract": op9_html_extract,
     "op10_pii": op10_pii,
 }
 
