@@ -217,20 +217,21 @@ def found(m: Column, key: Column) -> Column:
     return out.otherwise(F.struct(F.lit("card").alias("kind"), _card(m, key).alias("new")))
 
 
-def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text with its valid numbers, dates and e-mail names replaced, n_pii, and kinds (a count per kind).
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text with its valid numbers, dates and e-mail names replaced, n_pii, kinds (a count per kind) and the columns in `keep`.
 
     A null text stays null with no findings. Every row is rewritten by itself; an empty table gives no rows; other
     columns are not read. What looks like a number or date but is not valid is left as it is.
     """
     secret = F.lit(key)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    kept = [f"_k{i}" for i in range(len(keep))]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *(F.col(c).alias(n) for c, n in zip(keep, kept, strict=True)))
     rows = rows.withColumn("_hits", F.when(F.col("_text").rlike("[0-9@]"), F.regexp_extract_all("_text", F.lit(f"({ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("_found", F.transform("_hits", lambda m: found(m, secret)))
     pieces = F.split("_text", f"(?:{ANY})", -1)
     new = F.zip_with("_hits", "_found", lambda m, f: F.coalesce(f["new"], m))
     joined = F.array_join(F.zip_with(pieces, new, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
     valid = F.transform(F.filter("_found", lambda f: f["new"].isNotNull()), lambda f: f["kind"])
-    rows = rows.select("doc_id", F.when(F.size("_hits") > 0, joined).otherwise(F.col("_text")).alias("text"), F.coalesce(valid, F.array().cast("array<string>")).alias("_kinds"))
+    rows = rows.select("doc_id", F.when(F.size("_hits") > 0, joined).otherwise(F.col("_text")).alias("text"), F.coalesce(valid, F.array().cast("array<string>")).alias("_kinds"), *kept)
     counts = F.struct(*((F.size("_kinds") - F.size(F.array_remove("_kinds", name))).alias(name) for name in KINDS))
-    return rows.select("doc_id", "text", F.size("_kinds").alias("n_pii"), counts.alias("kinds"))
+    return rows.select("doc_id", "text", F.size("_kinds").alias("n_pii"), counts.alias("kinds"), *(F.col(n).alias(c) for c, n in zip(keep, kept, strict=True)))

@@ -73,9 +73,10 @@ def judge(text: str | None, most_symbols: float, most_shouts: float, least_words
 
 
 def clean_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_symbols: float = 0.25, most_shouts: float = 0.5, least_words: int = 50, most_repeat: int = 50, most_lost: float = 0.5
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_symbols: float = 0.25, most_shouts: float = 0.5, least_words: int = 50, most_repeat: int = 50, most_lost: float = 0.5, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept, n_kept_words and clean_text (the lines that pass) of each document.
+    """doc_id, the base counts, base_failed, kept, n_kept_words and clean_text (the lines that pass) of each document, and
+    before them the columns named in `keep`.
 
     A null or empty text has no words and fails the base rules. Every row is judged by itself, however often it
     comes; an empty table gives no rows; other columns are not read.
@@ -85,9 +86,12 @@ def clean_lines(
         for batch in batches:
             rows = [judge(t, most_symbols, most_shouts, least_words, most_repeat, most_lost) for t in batch["text"]]
             out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_kept_words", "clean_text"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            yield out
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_kept_words long, clean_text string"
-    return rows.mapInPandas(run, schema)
+            batch = batch.drop(columns="text").reset_index(drop=True)
+            yield pd.concat([batch.astype({"doc_id": "Int64"}), out], axis=1)
+
+    names = [f"k{i}" for i in range(len(keep))]
+    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    kinds = "".join(f"{name} {kind}, " for name, kind in rows.select(*names).dtypes)
+    schema = kinds + "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_kept_words long, clean_text string"
+    out = rows.mapInPandas(run, schema)
+    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), *out.columns[len(keep) :])

@@ -28,30 +28,59 @@ from .components import connected_components
 PIVOTS = 16
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """64-bit SimHash of the text's word shingles, as a signed long; 0 for no words."""
-    words = utf8(text).lower().split()
-    if not words:
-        return 0
+#: Names of the four fingerprints by which links may be verified.
+VERIFY = ("v0", "v1", "v2", "v3")
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of every run of `shingle` words joined by a space; of all words if they are fewer."""
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return int(np.uint64(xxhash.xxh64_intdigest(joined, 42)).view(np.int64))
+        return np.array([digest(joined, 42)], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *(ends[:-shingle]).tolist()]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half the hashes, as a signed long."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+def fingerprint(text: str | None, shingle: int) -> int:
+    """64-bit SimHash of the text's word shingles; 0 for no words."""
+    words = utf8(text).lower().split()
+    return majority(shingle_hashes(words, shingle)) if words else 0
+
+
+def verifiers(text: str | None, shingle: int) -> tuple[int, ...]:
+    """Four further fingerprints, of other bits of mixed hashes of the distinct shingles: 256 bits to estimate their cosine by."""
+    words = utf8(text).lower().split()
+    if not words:
+        return (0,) * len(VERIFY)
+    hashes, out = np.unique(shingle_hashes(words, shingle)), []
+    for i in range(len(VERIFY)):
+        mixed = (hashes ^ np.uint64(0xA0761D6478BD642F * (i + 1) % 2**64)) * np.uint64(0xE7037ED1A0B428DB)
+        out.append(majority(mixed ^ (mixed >> np.uint64(32))))
+    return tuple(out)
+
+
+def fingerprints(docs: DataFrame, shingle: int, verify_shingle: int | None, id_col: str, text_col: str) -> DataFrame:
+    names = VERIFY if verify_shingle else ()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": [fingerprint(t, shingle) for t in batch["text"]]})
+            out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": [fingerprint(t, shingle) for t in batch["text"]]})
+            if names:
+                out[list(names)] = np.array([verifiers(t, verify_shingle) for t in batch["text"]], np.int64).reshape(-1, len(names))
+            yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *names)))
 
 
 def block_masks(blocks: int, same: int) -> list[int]:
@@ -114,8 +143,11 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return own, label[own]
 
 
-def links_of_group(group: np.ndarray, fps: np.ndarray, k: int, block: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links between rows of the same group; rows are sorted by group."""
+def links_of_group(group: np.ndarray, fps: np.ndarray, k: int, more: np.ndarray | None = None, most: int = 0, block: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links between rows of the same group; rows are sorted by group.
+
+    more: a column of verifying fingerprints per row, of which a link may differ in `most` bits in all.
+    """
     table, n = pivot_table(fps), len(fps)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     size = np.diff(np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])).max(initial=1)
@@ -126,6 +158,9 @@ def links_of_group(group: np.ndarray, fps: np.ndarray, k: int, block: int = 2_00
         for at in range(0, len(rows), block):
             part = rows[at : at + block]
             pair = close(part, part + step, fps, table, k)
+            if more is not None and len(pair[0]):
+                keep = np.bitwise_count(more[pair[0]] ^ more[pair[1]]).sum(1) <= most
+                pair = pair[0][keep], pair[1][keep]
             if len(pair[0]):
                 found.append(pair)
                 held += len(pair[0])
@@ -137,14 +172,14 @@ def links_of_group(group: np.ndarray, fps: np.ndarray, k: int, block: int = 2_00
     return forest(n, *map(np.concatenate, zip(*found, strict=True)))
 
 
-def links_in(k: int):
+def links_in(k: int, names: tuple[str, ...], most: int):
     """mapInPandas over rows sorted by group: forests of links, group by group, whatever the batches."""
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         keys = rows[["t", "key", "tile"]].to_numpy()
         group = np.r_[0, np.cumsum((keys[1:] != keys[:-1]).any(1))]
         node = rows["node"].to_numpy()
-        i, j = links_of_group(group, rows["fp"].to_numpy().view(np.uint64), k)
+        i, j = links_of_group(group, rows["fp"].to_numpy().view(np.uint64), k, np.ascontiguousarray(rows[list(names)].to_numpy()).view(np.uint64) if names else None, most)
         return pd.DataFrame({"a": node[i], "b": node[j]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,21 +203,27 @@ def links_in(k: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", tile: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", verify: tuple[int, float] | None = None, tile: int = 4096) -> DataFrame:
     """doc_id, fp (signed long) and component_id, the least doc_id that links of `distance` or fewer bits reach.
 
+    verify=(n, similarity) keeps only links whose distinct n-word shingles have about that Jaccard similarity or
+    more, as estimated from 256 further fingerprint bits (standard error some 0.04).
+
     Null and empty texts have fingerprint 0 and link like any other. A row with a null id is returned with its
     component's least id, or null if the component has no id. Repeated rows are returned as often as they come; an
     empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     shared_folder(spark)
-    prints = fingerprints(docs, shingle, id_col, text_col).checkpoint()
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null")
+    names = VERIFY if verify else ()
+    # bits of 64 * len(VERIFY) that differ at this similarity: the angle between sets of one size
+    most = round(64 * len(VERIFY) * math.acos(2 * verify[1] / (1 + verify[1])) / math.pi) if verify else 0
+    prints = fingerprints(docs, shingle, verify[0] if verify else None, id_col, text_col).checkpoint()
+    nodes = prints.groupBy("fp", *names).agg(F.min("doc_id").alias("node")).where("node is not null")
     blocks = blocks_for(nodes.count(), distance)
     masks = block_masks(blocks, blocks - distance)
     keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)))).alias("k")
-    keyed = nodes.select("fp", "node", keys).select("fp", "node", "k.t", "k.key")
+    keyed = nodes.select("fp", *names, "node", keys).select("fp", *names, "node", "k.t", "k.key")
     shared = keyed.groupBy("t", "key").count().where("count > 1")
     met = keyed.join(shared, ["t", "key"])
     # a key with more nodes than a tile holds: every pair of its slices is a tile of its own
@@ -190,9 +231,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
     own = F.pmod(F.xxhash64("fp", F.lit(8)), F.col("slices")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.least(s, F.col("own")) * 100_000 + F.greatest(s, F.col("own")))
     met = met.withColumn("slices", slices).withColumn("own", F.when(F.col("slices") > 1, own).otherwise(0))
-    met = met.select("t", "key", "fp", "node", F.explode(F.when(F.col("slices") > 1, tiles).otherwise(F.array(F.lit(0)))).alias("tile"))
+    met = met.select("t", "key", "fp", *names, "node", F.explode(F.when(F.col("slices") > 1, tiles).otherwise(F.array(F.lit(0)))).alias("tile"))
     sorted_groups = met.repartition(partitions(spark), "t", "key", "tile").sortWithinPartitions("t", "key", "tile", "fp")
-    edges = sorted_groups.mapInPandas(links_in(distance), "a long, b long")
+    edges = sorted_groups.mapInPandas(links_in(distance, names, most), "a long, b long")
     component = connected_components(edges)
-    named = nodes.join(component, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = nodes.join(component, "node", "left").select("fp", *names, F.coalesce("component", "node").alias("component_id"))
+    return prints.join(named, ["fp", *names], "left").select("doc_id", "fp", "component_id")
