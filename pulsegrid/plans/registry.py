@@ -4,3 +4,8 @@ from __future__ import annotations
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def load() -> None:
+    """Query modules add themselves on import."""
+    from . import mask_queries  # noqa: F401
