@@ -8,4 +8,4 @@ ORACLES: dict[str, str] = {}
 
 def load() -> None:
     """Query modules add themselves on import."""
-    from . import mask_queries  # noqa: F401
+    from . import mask_queries, report_queries, segment_queries, signal_queries  # noqa: F401
