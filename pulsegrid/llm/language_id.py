@@ -39,6 +39,8 @@ def grams(text: str) -> np.ndarray:
 
 def codewords(classes: int) -> np.ndarray:
     """A row of +1 and -1 per class: all splits for up to five classes, else the best-spread of 200 seeded random codes."""
+    if classes == 0:
+        return np.empty((0, 0), np.int8)
     if classes <= 5:
         columns = [c for c in product((1, -1), repeat=classes) if c[0] == 1 and -1 in c]
         return np.array(columns, np.int8).T.reshape(classes, -1)

@@ -108,7 +108,7 @@ def windows_of(size: int, buckets: int):
         at, _ = distinct_windows(first, bucket)
         cut = np.flatnonzero(np.diff(bucket[at], prepend=-1))
         rows = []
-        for a, b in zip(cut, [*cut[1:], len(at)], strict=True):
+        for a, b in zip(cut, np.r_[cut[1:], len(at)], strict=False):
             own = at[a:b]
             hashes = first[own]
             rows.append((bucket[own[0]], key[0], packed(np.diff(hashes, prepend=np.uint64(0))), packed(ids[which[own]])))
