@@ -254,3 +254,21 @@ def events_out(spark, sf_dir):
 @query(f"WITH {EV} SELECT rec, idx - 5 AS idx, kind, x FROM ev JOIN len USING (rec) WHERE idx >= 5 AND idx < n - 5")
 def edge_trim(spark, sf_dir):
     return align.trim_edges(samples(spark, sf_dir), fs=1.0)
+
+
+@query("SELECT e.user_id AS rec, window_start, CAST(count(*) AS BIGINT) AS n, round(sum(value), 6) AS total FROM (SELECT *, time_bucket(INTERVAL '6 hours', ts) AS window_start FROM events) e GROUP BY ALL")
+def tumbling_windows(spark, sf_dir):
+    """The streaming form runs the same plan on a stream (tests/test_streaming.py)."""
+    from ..streaming.bouts import tumbling
+    from .tables import table
+
+    out = tumbling(table(spark, sf_dir, "events").withColumnRenamed("user_id", "rec"), "ts", "value", "6 hours", "1 hour", "rec")
+    return out.select("rec", F.col("start").alias("window_start"), "n", F.round("total", 6).alias("total"))
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '8 hours' THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id AS rec, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def session_windows(spark, sf_dir):
+    from ..streaming.bouts import sessions
+    from .tables import table
+
+    return sessions(table(spark, sf_dir, "events").withColumnRenamed("user_id", "rec"), "ts", "8 hours", "1 hour", "rec").select("rec", "start", "n")
