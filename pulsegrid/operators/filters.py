@@ -20,8 +20,8 @@ def butterworth_sections(order: int, low: float, high: float, fs: float) -> np.n
     analog = np.concatenate([half + root, half - root])
     poles = (2 * fs + analog) / (2 * fs - analog)
     gain = np.real((w2 - w1) ** order * (2 * fs) ** order / np.prod(2 * fs - analog))
-    pairs = sorted(poles[poles.imag > 0], key=lambda p: abs(abs(p) - 1), reverse=True)
-    real = sorted(poles[np.abs(poles.imag) <= 0].real)
+    pairs = sorted(poles[poles.imag > 1e-12], key=lambda p: abs(abs(p) - 1), reverse=True)
+    real = sorted(poles[np.abs(poles.imag) <= 1e-12].real)
     denominators = [(1.0, -2 * p.real, abs(p) ** 2) for p in pairs] + [(1.0, -(a + b), a * b) for a, b in zip(real[::2], real[1::2], strict=True)]
     sections = np.array([(1.0, 0.0, -1.0, *d) for d in denominators])
     sections[0, :3] *= gain

@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 FILE_START, FILE_END, FILE_TRAILER = 0x48414148, 0x485A5A48, 0x445A5A44
 SYNC, PACKET = 0xA55E, 0x504B
 LAST_V1_TIME = 4102444800
-V1_HEADER = struct.Struct("<LHLHHHHH")
+V1_HEADER = "<LHLHHHHH"
 V1_PARTS = ((0x80, 8), (0x40, 12), (0x20, 20), (0x10, 2), (0x08, 6))  # piezo, accelerometer, IMU, force, time
-V2_SYNC = struct.Struct("<HLLLB")
-V2_HEADER = struct.Struct("<LLHLHHHHHLHL4s6sL")
+V2_SYNC = "<HLLLB"
+V2_HEADER = "<LLHLHHHHHLHL4s6sL"
 V2_PACKET = np.dtype([("sig", "<u2"), ("seq", "u1"), ("ms", "<u4"), ("flags", "u1"), ("piezo", "<u2", (64, 2)), ("imu", "<i2", (8, 10))])
 
 SAMPLE_SCHEMA = "rec string, idx long, piezo array<int>, accel array<int>, imu array<int>, force int, press tinyint"
@@ -39,7 +39,7 @@ def file_format(content: Column) -> Column:
 def v1_offsets(data: bytes) -> tuple[np.ndarray, int]:
     """Start of every whole record, and where the walk ended. A record's length hangs on its own flags."""
     sizes = [1 + sum(n for bit, n in V1_PARTS if d & bit) for d in range(256)]
-    at, pos, end = [], V1_HEADER.size, len(data)
+    at, pos, end = [], struct.calcsize(V1_HEADER), len(data)
     while pos < end:
         after = pos + sizes[data[pos]]
         if after > end:
@@ -51,9 +51,9 @@ def v1_offsets(data: bytes) -> tuple[np.ndarray, int]:
 
 def parse_v1(data: bytes) -> tuple[dict, dict[str, np.ndarray]]:
     """Header and channels; a channel is (index of its records, values)."""
-    if len(data) < V1_HEADER.size:
+    if len(data) < struct.calcsize(V1_HEADER):
         raise ValueError("file too small for a header")
-    s, sm, e, em, *freq = V1_HEADER.unpack_from(data)
+    s, sm, e, em, *freq = struct.unpack_from(V1_HEADER, data)
     at, end = v1_offsets(data)
     buf = np.frombuffer(data, np.uint8)
     flags, place, channels = buf[at], at + 1, {}
@@ -69,13 +69,13 @@ def parse_v1(data: bytes) -> tuple[dict, dict[str, np.ndarray]]:
 
 def parse_v2(data: bytes, start_byte: int = -1, end_byte: int = -1, max_packets: int = -1) -> tuple[dict, dict[str, np.ndarray]]:
     """As parse_v1. A packet without its signature is resynchronised byte by byte; an incomplete last one is dropped."""
-    if len(data) < V2_HEADER.size:
+    if len(data) < struct.calcsize(V2_HEADER):
         raise ValueError("file too small for a header")
-    pos = V2_SYNC.size if struct.unpack_from("<H", data)[0] == SYNC else 0
-    first, s, sm, e, em, p, a, i, f, ls, lsm, _, device, mac, last = V2_HEADER.unpack_from(data, pos)
+    pos = struct.calcsize(V2_SYNC) if struct.unpack_from("<H", data)[0] == SYNC else 0
+    first, s, sm, e, em, p, a, i, f, ls, lsm, _, device, mac, last = struct.unpack_from(V2_HEADER, data, pos)
     if first != FILE_START or last != FILE_END:
         raise ValueError("wrong signature in the file header")
-    pos = max(pos + V2_HEADER.size, start_byte)
+    pos = max(pos + struct.calcsize(V2_HEADER), start_byte)
     end = end_byte if 0 < end_byte < len(data) else len(data)
     mark, at, skipped = struct.pack("<H", PACKET), [], 0
     while pos + 8 <= end and (max_packets < 0 or len(at) < max_packets):
@@ -163,8 +163,8 @@ def write_v2(path: str, packets: int, sync: bool = False, garbage: dict[int, byt
     body["sig"], body["seq"], body["ms"] = PACKET, np.arange(packets) % 256, 62 * np.arange(packets)
     body["piezo"] = np.stack([32768 + 20000 * np.sin(2 * np.pi * n / 1024), 32768 + 15000 * np.cos(2 * np.pi * n / 512)], 1).astype(np.uint16).reshape(packets, 64, 2)
     body["imu"] = np.array([10000, 0, 0, 0, 50, 60, 70, 0, 0, 9810])
-    head = V2_HEADER.pack(FILE_START, 1_700_000_000, 500, 1_700_000_000 + packets // 16, 500, 1024, 512, 128, 64, 1_700_000_000, 0, packets * V2_PACKET.itemsize, b"TEST", bytes(range(6)), FILE_END)
-    out = (V2_SYNC.pack(SYNC, 1, 2, 3, 4) if sync else b"") + head
+    head = struct.pack(V2_HEADER, FILE_START, 1_700_000_000, 500, 1_700_000_000 + packets // 16, 500, 1024, 512, 128, 64, 1_700_000_000, 0, packets * V2_PACKET.itemsize, b"TEST", bytes(range(6)), FILE_END)
+    out = (struct.pack(V2_SYNC, SYNC, 1, 2, 3, 4) if sync else b"") + head
     for i in range(packets):
         out += (garbage or {}).get(i, b"") + body[i].tobytes()
     out += struct.pack("<L", FILE_TRAILER)
@@ -174,7 +174,7 @@ def write_v2(path: str, packets: int, sync: bool = False, garbage: dict[int, byt
 
 def write_v1(path: str, records: list[dict]) -> None:
     """records: dicts with any of piezo(4), accel(6), imu(10), force(1), time(3 u16) and press."""
-    out = V1_HEADER.pack(1_600_000_000, 250, 1_600_000_010, 750, 1024, 512, 128, 64)
+    out = struct.pack(V1_HEADER, 1_600_000_000, 250, 1_600_000_010, 750, 1024, 512, 128, 64)
     for r in records:
         flags = sum(bit for name, (bit, _) in zip(("piezo", "accel", "imu", "force", "time"), V1_PARTS, strict=True) if name in r) | (1 if r.get("press") else 0)
         out += bytes([flags]) + b"".join(np.array(r[name], "<i2" if name == "imu" else "<u2").tobytes() for name in ("piezo", "accel", "imu", "force", "time") if name in r)
