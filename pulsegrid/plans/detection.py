@@ -1,6 +1,6 @@
 """Recordings to detections and features: load, preprocess, segment, fuse, label, slice.
 
-Nothing runs until a result is asked for, and only the stages that it needs run then.
+Stages are lazy; detect() writes down what several of them read.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from ..config import SENSORS, Base, Features, Fusion, Preprocess, Segment
 from ..functions import arrays, scalar, spectral
 from ..operators import align, filters, maps
 from ..operators import intervals as iv
+from ..session import settled
 
 IMU = ("roll", "pitch", "yaw")
 
@@ -48,10 +49,15 @@ def preprocess(samples: DataFrame, p: Preprocess) -> tuple[DataFrame, DataFrame]
     bands = dict.fromkeys(SENSORS, (1.0, 30.0)) | dict.fromkeys(("imu_acc", *IMU), (1.0, 10.0))
     s = align.trim_edges(filters.band_pass(samples, bands, p.sensor_freq), p.sensor_freq)
     s = filters.first_component(s, IMU, "rot1d")
+    return s, pressed(s, p)
+
+
+def pressed(s: DataFrame, p: Preprocess) -> DataFrame:
+    """Press samples (rec, idx), debounced if asked."""
     presses = s.where("press = 1").select("rec", "idx")
     if p.resolve_debounce:
         presses = iv.to_mask(maps.debounce(presses, s.groupBy("rec").agg(F.count("*").alias("n")), p.debounce_samples))
-    return s, presses
+    return presses
 
 
 def body_movement(s: DataFrame, n: DataFrame, p: Segment) -> DataFrame:
@@ -157,10 +163,13 @@ def feature_table(features: DataFrame, names: list[str]) -> DataFrame:
 
 
 def detect(raw: DataFrame, config: dict[str, Base]) -> dict[str, DataFrame]:
-    """All results by name, lazily."""
-    s, presses = preprocess(load(raw), config["preprocess"])
+    """All results by name. Filtered samples, maps and detections are computed; labels and features wait to be asked for."""
+    s, _ = preprocess(load(raw), config["preprocess"])
+    s = settled(s)  # every later stage reads the filtered samples
+    presses = pressed(s, config["preprocess"])
     movement, h, runs = segment(s, config["segment"])
-    dets = detections(runs, config["fusion"])
+    movement, runs = settled(movement), settled(runs)
+    dets = settled(detections(runs, config["fusion"]))
     n = s.groupBy("rec").agg(F.count("*").alias("n"))
     found = labelled(dets, presses, movement, n, config["segment"])
     names = [*config["extract_feat"].sensors, *(("rot1d", "imu_acc") if config["extract_feat"].add_imu_features else ())]

@@ -113,7 +113,7 @@ def read_recordings(spark: SparkSession, path: str) -> DataFrame:
     """A row per file with its header and the reader's counts, or its error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in RECORDING_SCHEMA.split(", ")]
+        kinds = dict(c.split() for c in RECORDING_SCHEMA.split(", "))
         for batch in batches:
             rows = []
             for rec, kind, content in zip(batch["rec"], batch["kind"], batch["content"], strict=True):
@@ -124,8 +124,7 @@ def read_recordings(spark: SparkSession, path: str) -> DataFrame:
                 except (ValueError, struct.error) as problem:
                     row["error"] = str(problem)
                 rows.append(row)
-            out = pd.DataFrame(rows).reindex(columns=names)
-            yield out.astype({c.split()[0]: "Int64" for c in RECORDING_SCHEMA.split(", ") if c.split()[1] in ("long", "int")})
+            yield pd.DataFrame({name: pd.Series([r.get(name) for r in rows], dtype="object" if kind == "string" else "Int64") for name, kind in kinds.items()})
 
     return files(spark, path).mapInPandas(run, RECORDING_SCHEMA)
 
