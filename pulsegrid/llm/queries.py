@@ -9,6 +9,7 @@ from . import html_extract, language_id, toxicity
 from .bpe import encode_decode
 from .common import table
 from .decontamination import contaminated
+from .oracles import ORACLES  # noqa: F401
 from .pii import pseudonymise
 from .quality_rules import clean_lines
 from .simhash_dedup import near_duplicates
@@ -90,5 +91,3 @@ QUERIES = {
     "op9_html_extract": op9_html_extract,
     "op10_pii": op10_pii,
 }
-
-ORACLES: dict[str, str] = {}
