@@ -157,14 +157,15 @@ def predict_chain(docs: DataFrame, links: list[Link], id_col: str = "doc_id", te
     A null or empty text has no features: the models' biases decide. Every row is judged by its text; an empty
     table gives no rows; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(links)
+    # plain values: a broadcast is unpickled where this package need not be installed
+    shared = docs.sparkSession.sparkContext.broadcast([(x.name, x.slots, x.weights, x.earlier, x.bias, x.threshold) for x in links])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots = Slots()
+        slots, chain_ = Slots(), [Link(*x) for x in shared.value]
         for batch in batches:
             rows = [present(t, slots) for t in batch["text"]]
             out, known = {"doc_id": batch["doc_id"].astype("Int64").to_numpy()}, np.empty((len(rows), 0))
-            for link in shared.value:
+            for link in chain_:
                 p = probabilities(link, rows, known)
                 out |= {f"p_{link.name}": p, f"is_{link.name}": p >= link.threshold}
                 known = np.column_stack([known, log_odds(p)])
