@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
 from . import intervals as iv
 from .filters import keep_distant, local_maxima, moving_average, zero_outliers
 
@@ -83,13 +84,13 @@ def consistent(regions: DataFrame, samples: DataFrame, sensor: str, p: HiccupPar
 def detect_hiccups(reduced: DataFrame, movement: DataFrame, samples: DataFrame, lengths: DataFrame, p: HiccupParameters | None = None, width: int = 7168) -> DataFrame:
     """Hiccup map (rec, start, end_excl). No region gives no rows."""
     p = p or HiccupParameters()
-    regions = candidate_regions(reduced, movement, lengths, p)
+    regions = settled(candidate_regions(reduced, movement, lengths, p))  # read once per sensor
     tagged = None
     for name, sensors in MODALITIES.items():
         for sensor in (s for s in sensors if s in samples.columns):
             part = iv.tag(consistent(regions, samples, sensor, p, width), name)
             tagged = part if tagged is None else tagged.unionByName(part)
-    tagged = iv.merge(tagged, ("rec", "map"))
+    tagged = settled(iv.merge(tagged, ("rec", "map")))
     fused = iv.sweep(tagged, list(MODALITIES), FUSIONS[p.fusion])
     return iv.session_merge(fused, p.samples(p.bout_gap))
 
