@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECE = re.compile(
-    r"<!--(?:.*?-->|.*)|<(script|style|noscript|template|textarea|select|svg|iframe|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*)"
+    r"<!--(?:.*?-->|.*)|<(script|style|textarea|iframe)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1(?=[\s/>])[^>]*>|.*)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+)|<",
     re.DOTALL | re.IGNORECASE,
 )
@@ -32,6 +32,7 @@ BOILERPLATE = frozenset(
     "nav navbar navigation menu header footer aside sidebar ad ads advert adverts advertisement sponsored banner promo cookie cookies consent notice notices alert form search login signup subscribe newsletter comment comments respond reply replies share social related breadcrumb breadcrumbs toolbar widget popup modal copyright pagination pager toc skip".split()
 )
 TAG_HINTS = frozenset(("article", "main", "nav", "header", "footer", "aside", "form", "dialog", "menu", "button"))
+SKIPPED = frozenset(("noscript", "template", "select", "svg", "object"))  # their text goes when their own end tag comes
 WORD = re.compile(r"[a-z]+")
 
 PRIOR = 4.0  # weight of a hint in the markup, in log odds
@@ -60,6 +61,8 @@ def blocks_of(page: str | None) -> list[tuple[str, int, int, int, bool]]:
     """(text, hint, parent, characters in links, is a heading) of every block with text, in page order."""
     out: list[tuple[str, int, int, int, bool]] = []
     stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, hint, number
+    places: dict[str, list[int]] = {}  # of the open elements of each tag in the stack
+    marks: dict[int, tuple[int, int]] = {}  # number of an open element whose text is skipped: blocks and link before it
     number, texts, linked, in_link, in_head, own = 0, [], 0, 0, False, (0, 0, False)
 
     def close() -> None:
@@ -99,16 +102,25 @@ def blocks_of(page: str | None) -> list[tuple[str, int, int, int, bool]]:
             continue
         close()
         if ends:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if at:
-                del stack[at:]
+            at = places[tag][-1] if places.get(tag) else len(stack)
+            if at < len(stack) and tag in SKIPPED:
+                before, in_link = marks[stack[at][2]]
+                del out[before:]
+            while len(stack) > at:
+                places[stack.pop()[0]].pop()
         else:
-            if stack[-1][0] == "p" or (tag == stack[-1][0] and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                stack.pop()
+            skipped = tag in SKIPPED
+            if (stack[-1][0] == "p" and not skipped) or (tag == stack[-1][0] and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
+                places[stack.pop()[0]].pop()
+            if tag == "svg" and m[4].endswith("/"):
+                continue
+            number += 1
             if len(stack) < 512:
-                number += 1
+                places.setdefault(tag, []).append(len(stack))
                 stack.append((tag, hint_of(tag, m[4], stack[-1][1]), number))
-            in_link = 0
+                if skipped:
+                    marks[number] = len(out), in_link
+            in_link = in_link if skipped else 0
     close()
     # a block's parent is the element around its own, so that paragraphs are siblings
     return out
