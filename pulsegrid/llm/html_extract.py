@@ -115,11 +115,10 @@ def blocks_of(page: str | None) -> list[tuple[str, int, int, int, bool]]:
             if tag == "svg" and m[4].endswith("/"):
                 continue
             number += 1
-            if len(stack) < 512:
-                places.setdefault(tag, []).append(len(stack))
-                stack.append((tag, hint_of(tag, m[4], stack[-1][1]), number))
-                if skipped:
-                    marks[number] = len(out), in_link
+            places.setdefault(tag, []).append(len(stack))
+            stack.append((tag, hint_of(tag, m[4], stack[-1][1]), number))
+            if skipped:
+                marks[number] = len(out), in_link
             in_link = in_link if skipped else 0
     close()
     # a block's parent is the element around its own, so that paragraphs are siblings

@@ -26,3 +26,10 @@ def test_raw_text_goes_to_its_end():
     for tag in ("script", "style", "textarea", "iframe"):
         assert read(f"<p>a</p><{tag}>x <p>y</p></{tag}><p>b</p>") == [("a", 0), ("b", 0)]
         assert read(f"<p>a</p><{tag}>x <p>y</p>") == [("a", 0)]
+
+
+@pytest.mark.parametrize("depth", [10, 2000, 20_000])
+def test_deep_elements_keep_hints(depth):
+    inside = "<div>" * depth + "<nav>menu</nav><article>story</article><p>plain</p>" + "</div>" * depth
+    assert read(f"<article>{inside}<p>more</p></article><p>end</p>") == [("menu", -1), ("story", 1), ("plain", 1), ("more", 1), ("end", 0)]
+    assert read("<aside>" + "<div>" * depth + "x" + "</div>" * depth + "<p>y</p></aside>") == [("x", -1), ("y", -1)]
