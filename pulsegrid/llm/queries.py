@@ -70,7 +70,7 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block classifier fitted on about 500 pages."""
+    """Block classifier and edge strength fitted on about 500 different pages."""
     pages = table(spark, sf_dir, "pages")
     return html_extract.extract(pages, html_extract.fit(pages, "html", most_pages=500))
 
