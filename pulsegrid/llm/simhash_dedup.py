@@ -209,9 +209,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
     verify=(n, similarity) keeps only links whose distinct n-word shingles have about that Jaccard similarity or
     more, as estimated from 256 further fingerprint bits (standard error some 0.04).
 
-    Null and empty texts have fingerprint 0 and link like any other. A row with a null id is returned with its
-    component's least id, or null if the component has no id. Repeated rows are returned as often as they come; an
-    empty table gives no rows; other columns are not read.
+    Null and empty texts have fingerprint 0 and link like any other. A row with a null id links like any other too: it
+    can be the bridge between two others. It is returned with its component's least id, or null if no row of the
+    component has one. Repeated rows are returned as often as they come; an empty table gives no rows; other columns
+    are not read. Ids are integers, or strings of digits.
     """
     spark = docs.sparkSession
     shared_folder(spark)
@@ -219,7 +220,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
     # bits of 64 * len(VERIFY) that differ at this similarity: the angle between sets of one size
     most = round(64 * len(VERIFY) * math.acos(2 * verify[1] / (1 + verify[1])) / math.pi) if verify else 0
     prints = fingerprints(docs, shingle, verify[0] if verify else None, id_col, text_col).checkpoint()
-    nodes = prints.groupBy("fp", *names).agg(F.min("doc_id").alias("node")).where("node is not null")
+    # nodes are named by their fingerprints, so that those without an id have names as well
+    node = F.xxhash64("fp", *names) if names else F.col("fp")
+    nodes = prints.groupBy("fp", *names).agg(F.min("doc_id").alias("least")).withColumn("node", node)
     blocks = blocks_for(nodes.count(), distance)
     masks = block_masks(blocks, blocks - distance)
     keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)))).alias("k")
@@ -227,13 +230,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
     shared = keyed.groupBy("t", "key").count().where("count > 1")
     met = keyed.join(shared, ["t", "key"])
     # a key with more nodes than a tile holds: every pair of its slices is a tile of its own
-    slices = F.ceil(F.col("count") / tile).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(8)), F.col("slices")).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.least(s, F.col("own")) * 100_000 + F.greatest(s, F.col("own")))
+    slices = F.ceil(F.col("count") / tile).cast("long")
+    own = F.pmod(F.xxhash64("node", F.lit(8)), F.col("slices"))
+    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda s: F.least(s, F.col("own")) * 2_000_000_000 + F.greatest(s, F.col("own")))
     met = met.withColumn("slices", slices).withColumn("own", F.when(F.col("slices") > 1, own).otherwise(0))
-    met = met.select("t", "key", "fp", *names, "node", F.explode(F.when(F.col("slices") > 1, tiles).otherwise(F.array(F.lit(0)))).alias("tile"))
+    met = met.select("t", "key", "fp", *names, "node", F.explode(F.when(F.col("slices") > 1, tiles).otherwise(F.array(F.lit(0).cast("long")))).alias("tile"))
     sorted_groups = met.repartition(partitions(spark), "t", "key", "tile").sortWithinPartitions("t", "key", "tile", "fp")
     edges = sorted_groups.mapInPandas(links_in(distance, names, most), "a long, b long")
-    component = connected_components(edges)
-    named = nodes.join(component, "node", "left").select("fp", *names, F.coalesce("component", "node").alias("component_id"))
+    named = nodes.join(connected_components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "component").select("fp", *names, "component_id")
     return prints.join(named, ["fp", *names], "left").select("doc_id", "fp", "component_id")
