@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower
@@ -35,9 +35,10 @@ class Bloom:
     def __init__(self, level: int, hashes: np.ndarray, rate: float):
         n = max(1, len(hashes))
         self.level, self.k = level, max(1, round(-math.log2(rate)))
-        self.bits = np.zeros(max(64, math.ceil(n * self.k / math.log(2))), bool)
+        self.size = max(64, math.ceil(n * self.k / math.log(2)))
+        self.bits = np.zeros(-(-self.size // 8), np.uint8)
         for at in self.places(hashes):
-            self.bits[at] = True
+            np.bitwise_or.at(self.bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
     def places(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
         salt = np.uint64((self.level * 0x9E3779B97F4A7C15) % 2**64)
@@ -47,16 +48,26 @@ class Bloom:
         b = (hashes[:, 1] + salt) * np.uint64(0x81DADEF4BC2DD44D) | np.uint64(1)
         b ^= (b >> np.uint64(32)) << np.uint64(1)
         for i in range(self.k):
-            yield (a + np.uint64(i) * b) % np.uint64(len(self.bits))
+            yield (a + np.uint64(i) * b) % np.uint64(self.size)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         out = np.ones(len(hashes), bool)
         for at in self.places(hashes):
-            out &= self.bits[at]
+            out &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
         return out
 
 
-def answer(levels: list[Bloom], hashes: np.ndarray) -> np.ndarray:
+class Listed:
+    """The end of a cascade, where levels no longer tell keys apart: the keys themselves, as an ascending table."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.keys = np.unique(np.ascontiguousarray(hashes).view("u8,u8").ravel())
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        return np.isin(np.ascontiguousarray(hashes).view("u8,u8").ravel(), self.keys)
+
+
+def answer(levels: list, hashes: np.ndarray) -> np.ndarray:
     """Listed or not: a key refused first at an even level (counted from 0) is not listed, at an odd one it is."""
     out, left = np.zeros(len(hashes), bool), np.arange(len(hashes))
     for i, level in enumerate(levels):
@@ -67,46 +78,61 @@ def answer(levels: list[Bloom], hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def passes(levels: list[Bloom]):
-    """Pandas UDF: array of keys' hash pairs to array of listed flags."""
+def passes(levels: list, spark: SparkSession | None = None):
+    """Pandas UDF: array of keys' hash pairs to array of listed flags. The levels are broadcast, if a session is given."""
+    # plain values: a broadcast is unpickled where this package need not be installed
+    plain = [(x.keys,) if isinstance(x, Listed) else (x.level, x.k, x.size, x.bits) for x in levels]
+    shared = spark.sparkContext.broadcast(plain) if spark is not None else None
+
+    def level_of(values: tuple):
+        out = Listed.__new__(Listed) if len(values) == 1 else Bloom.__new__(Bloom)
+        for name, value in zip(("keys",) if len(values) == 1 else ("level", "k", "size", "bits"), values, strict=True):
+            setattr(out, name, value)
+        return out
 
     @F.pandas_udf("array<boolean>")
-    def listed(pairs: pd.Series) -> pd.Series:
-        sizes = pairs.map(len).to_numpy()
-        flat = np.array([h for row in pairs for pair in row for h in pair], np.int64).view(np.uint64).reshape(-1, 2)
-        return pd.Series(np.split(answer(levels, flat), np.cumsum(sizes)[:-1])) if len(pairs) else pd.Series([], dtype=object)
+    def listed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = [level_of(v) for v in (shared.value if shared is not None else plain)]
+        for pairs in batches:
+            flat = np.concatenate([np.empty(0, np.int64), *(np.concatenate(row) for row in pairs if len(row))]).view(np.uint64).reshape(-1, 2)
+            yield pd.Series(np.split(answer(own, flat), np.cumsum(pairs.map(len).to_numpy())[:-1])) if len(pairs) else pd.Series([], dtype=object)
 
     return listed
 
 
-def build_cascade(keys: DataFrame, listed: list[str], most_levels: int = 40) -> list[Bloom]:
+def hash_table(keys: DataFrame) -> np.ndarray:
+    """Rows (h: two longs) as an array of two columns, by Arrow."""
+    got = keys.select(F.get("h", F.lit(0)).alias("a"), F.get("h", F.lit(1)).alias("b")).toArrow()
+    return np.stack([got[c].to_numpy().view(np.uint64) for c in "ab"], 1) if got.num_rows else np.empty((0, 2), np.uint64)
+
+
+def build_cascade(keys: DataFrame, listed: list[str], most_levels: int = 40) -> list:
     """Levels for the listed keys over the corpus's keys (column key; repeats are harmless).
 
-    The corpus is read twice: to count its keys, which sets level 1's error rate so that its false positives are
-    about as many as the listed keys, and to gather those false positives. All later levels hold subsets of the two.
+    The corpus is read to count its keys, which sets level 1's error rate so that its false positives are about as many
+    as the listed keys, and to gather those false positives; should they be over 20 times as many, level 1 is made anew
+    with a quarter of the rate. All later levels hold subsets of the two. After most_levels, what still gets through is
+    kept as it is, so that any cascade ends.
     """
     spark = keys.sparkSession
     if not listed:
         return []
-    own = spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string").select(key_hashes(F.col("key")).alias("h")).collect()
-    inside = np.array([r.h for r in own], np.int64).view(np.uint64).reshape(-1, 2)
+    inside = hash_table(spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string").select(key_hashes(F.col("key")).alias("h")))
     universe = max(keys.agg(F.approx_count_distinct("key")).first()[0], 1)
-    rate = min(0.5, max(len(inside), 1000) / universe)
-    levels = [Bloom(0, inside, rate)]
-    first = passes(levels)
-    wrong = keys.select(key_hashes(F.col("key")).alias("h")).where(F.get(first(F.array("h")), F.lit(0))).distinct()
-    known = {tuple(h) for h in inside.tolist()}
-    most = 20 * max(len(inside), 1000)
-    found = [r.h for r in wrong.limit(most + 1).collect()]
-    if len(found) > most:
-        raise RuntimeError("level 1 lets through more keys than its size allows")
-    outside = np.array([[a % 2**64, b % 2**64] for a, b in found if (a % 2**64, b % 2**64) not in known], np.uint64).reshape(-1, 2)
-    while len(outside) and len(levels) < most_levels:
+    rate, most = min(0.5, max(len(inside), 1000) / universe), 20 * max(len(inside), 1000)
+    while True:
+        levels: list = [Bloom(0, inside, rate)]
+        first = passes(levels, spark)
+        wrong = keys.select(key_hashes(F.col("key")).alias("h")).where(F.get(first(F.array("h")), F.lit(0))).distinct()
+        outside = hash_table(wrong.limit(most + 1))
+        if len(outside) <= most:
+            break
+        rate /= 4
+    outside = outside[~Listed(inside).has(outside)]
+    while len(outside):
         inside, outside = outside, inside  # what the next level holds, and what it must refuse
-        levels.append(Bloom(len(levels), inside, 0.5))
+        levels.append(Bloom(len(levels), inside, 0.5) if len(levels) < most_levels else Listed(inside))
         outside = outside[levels[-1].has(outside)]
-    if len(outside):
-        raise RuntimeError(f"the cascade did not end in {most_levels} levels")
     return levels
 
 
@@ -119,11 +145,11 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return ascii_lower(host), path
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int], most_labels: int = 127) -> Column:
-    """Every key that could cover the URL, longest first: host suffixes by label, path prefixes of the listed lengths."""
-    labels = F.split(host, r"\.")
-    first = F.greatest(F.size(labels) - most_labels, F.lit(0))
-    hosts = F.transform(F.sequence(first, F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+def candidate_keys(host: Column, path: Column, lengths: list[int], labels: int) -> Column:
+    """Every key that could cover the URL, longest first: host suffixes of up to `labels` labels, as many as any listed
+    key has, and path prefixes of the listed lengths. Keys of equal length are in alphabetical order."""
+    parts = F.split(host, r"\.")
+    hosts = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(labels))), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
     prefixes = F.filter(F.array(*(F.when(F.length(path) >= n, F.left(path, F.lit(n))) for n in lengths)), lambda p: p.isNotNull())
     keys = F.flatten(F.transform(hosts, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
     by_length = F.array_sort(F.transform(keys, lambda k: F.struct((-F.length(k)).alias("n"), k.alias("k"))))
@@ -134,20 +160,23 @@ def judge_urls(pages: DataFrame, block: list[str], allow: list[str], id_col: str
     """page_id, host, path, rule (the longest listed key that covers the URL, or null) and verdict.
 
     A URL that no listed key covers gets the verdict `default`: it is on neither list. A null URL has an empty host
-    and path. A key on both lists blocks. Each key takes some 40 bytes of filter at most; lists beyond most_bytes are
-    not broadcast but joined by key. Repeated rows are judged each; an empty table gives no rows; other columns are
-    not read.
+    and path. Of listed keys of one length the alphabetically first decides; a key on both lists blocks. Each key takes
+    some 40 bits of filter at most, and 40 bytes while the filter is made; lists beyond most_bytes of the latter are
+    not broadcast but joined by key, with the same answers. Repeated rows are judged each, with null ids too; an empty
+    table gives no rows; other columns are not read.
     """
+    spark = pages.sparkSession
+    most_labels = max((k[: k.index("/")].count(".") + 1 for k in [*block, *allow]), default=1)
     lengths = sorted({len(k) - k.index("/") for k in [*block, *allow]}, reverse=True)
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths))
+    rows = rows.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths, most_labels))
     if 40 * (len(block) + len(allow)) > most_bytes:
         return judge_by_join(rows, block, allow, default)
     keys = rows.select(F.explode("keys").alias("key"))
     flags = {}
     for name, listed in (("block", block), ("allow", allow)):
-        flags[name] = passes(build_cascade(keys, listed))(F.col("hashes"))
+        flags[name] = passes(build_cascade(keys, listed), spark)(F.col("hashes"))
     rows = rows.withColumn("hashes", F.transform("keys", key_hashes)).select("page_id", "host", "path", "keys", flags["block"].alias("b"), flags["allow"].alias("a"))
     marked = F.filter(F.arrays_zip("keys", "b", "a"), lambda z: z["b"] | z["a"])
     rows = rows.select("page_id", "host", "path", F.get(marked, F.lit(0)).alias("hit"))
@@ -161,7 +190,7 @@ def judge_by_join(rows: DataFrame, block: list[str], allow: list[str], default:
     verdicts = {k: "allow" for k in allow} | {k: "block" for k in block}
     listed = spark.createDataFrame(list(verdicts.items()), "key string, verdict string")
     places = rows.select("host", "path", "keys").distinct()
-    hits = places.select("host", "path", F.explode("keys").alias("key")).join(listed.hint("merge"), "key")
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), "key", "verdict")).alias("hit"))
+    hits = places.select("host", "path", F.explode("keys").alias("key")).join(listed, "key")
+    best = hits.groupBy("host", "path").agg(F.min(F.struct((-F.length("key")).alias("n"), "key", "verdict")).alias("hit"))
     out = rows.join(best, ["host", "path"], "left")
     return out.select("page_id", "host", "path", F.col("hit")["key"].alias("rule"), F.coalesce(F.col("hit")["verdict"], F.lit(default)).alias("verdict"))
