@@ -12,6 +12,7 @@ Order of documents: id ascending, null ids last; rows with one id are ordered by
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pandas as pd
@@ -94,15 +95,15 @@ def unpacked(blob: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).view(kind).ravel()
 
 
-def in_order(chunk: pd.DataFrame) -> tuple[list, np.ndarray]:
-    """Texts and ids of a chunk in the order of documents."""
+def in_order(chunk: pd.DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
+    """Texts, ids and whether they are null, of a chunk in the order of documents."""
     chunk = chunk.sort_values(["_null", "_id", "_text"], kind="stable", na_position="first")
-    return chunk["_text"].tolist(), np.where(chunk["_null"], LAST_ID, chunk["_id"]).astype(np.int64)
+    return chunk["_text"].tolist(), chunk["_id"].to_numpy(), chunk["_null"].to_numpy()
 
 
 def windows_of(size: int, buckets: int):
     def send(key: tuple, chunk: pd.DataFrame) -> pd.DataFrame:
-        texts, ids = in_order(chunk)
+        texts, ids, _ = in_order(chunk)
         _, first, second, which, _ = chunk_windows(texts, size)
         bucket = (second % np.uint64(buckets)).astype(np.int64)
         at, _ = distinct_windows(first, bucket)
@@ -140,7 +141,7 @@ def merged(starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def removed_by(size: int, buckets: int):
     def judge(key: tuple, chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        texts, ids = in_order(chunk)
+        texts, ids, unnamed = in_order(chunk)
         docs, first, second, which, start = chunk_windows(texts, size)
         bucket = (second % np.uint64(buckets)).astype(np.int64)
         at, place = distinct_windows(first, bucket)
@@ -166,29 +167,41 @@ def removed_by(size: int, buckets: int):
                 done = e
             kept += words[done:]
             spans = [(int(s), int(e)) for s, e in zip(a, b, strict=True)]
-            rows.append((None if ids[i] == LAST_ID else int(ids[i]), len(words), int((b - a).sum()), spans, b" ".join(kept).decode("utf-8", "surrogatepass")))
+            rows.append((None if unnamed[i] else int(ids[i]), len(words), int((b - a).sum()), spans, b" ".join(kept).decode("utf-8", "surrogatepass")))
         out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "spans", "kept_text"])
         return out.astype({"doc_id": "Int64"})
 
     return judge
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8_000_000, bucket_windows: int = 1_000_000) -> DataFrame:
+def sizes(total: int, chunk: int, bucket: int, most: int) -> tuple[int, int]:
+    """Numbers of chunks and of buckets: of the sizes asked for while their product is `most` or less; beyond, both sizes
+    grow with the square root of the total, so that the product grows in proportion to it."""
+    wide = max(1.0, total / math.sqrt(most * chunk * bucket)) ** 0.5
+    return math.ceil(total / (chunk * wide)), math.ceil(total / (bucket * wide))
+
+
+def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8_000_000, bucket_windows: int = 1_000_000, most_messages: int = 20_000_000) -> DataFrame:
     """Remove every word covered by a window of `window` words whose words also start earlier in the corpus.
 
     Returns doc_id, n_words, n_removed, spans (array of [start, end) word ranges) and kept_text (kept words joined
     by one space). A null or empty text has no words; a text shorter than the window loses none; an empty table gives
     no rows; repeated rows are documents of their own, all but the first of which are removed whole; other columns
-    are not read. Memory of a task is set by chunk_bytes and bucket_windows, not by the corpus or by its groups.
+    are not read. Ids are integers, or strings of digits.
+
+    A chunk and a bucket meet in one message, so chunks times buckets must not grow with the square of the corpus: up
+    to `most_messages` their sizes are chunk_bytes and bucket_windows, beyond it both grow with the square root of the
+    corpus. Groups, however large, do not add to a task's memory. Each chunk and each bucket is a task of its own.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).withColumn("_null", F.col("_id").isNull())
+    rows = rows.withColumn("_id", F.coalesce("_id", F.lit(int(LAST_ID))))  # whole numbers all, which pandas keeps as they are
     total = rows.agg(F.sum(F.length("_text"))).first()[0] or 0
-    chunks = max(partitions(spark), -(-total // chunk_bytes))
-    buckets = max(partitions(spark), -(-total // (6 * bucket_windows)))
+    chunks, buckets = sizes(total, chunk_bytes, 6 * bucket_windows, most_messages)
+    chunks, buckets = max(partitions(spark), chunks), max(partitions(spark), buckets)
     salt = F.pmod(F.xxhash64("_id", "_text", F.lit(7)), F.lit(chunks))
-    rows = rows.withColumn("chunk", salt).repartition(partitions(spark), "chunk")
+    rows = rows.withColumn("chunk", salt).repartition(chunks, "chunk")
     sent = rows.groupBy("chunk").applyInPandas(windows_of(window, buckets), "bucket long, chunk long, hashes binary, ids binary")
-    answers = sent.groupBy("bucket").applyInPandas(earlier, "chunk long, bucket long, bits binary")
+    answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(earlier, "chunk long, bucket long, bits binary")
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string"
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(removed_by(window, buckets), schema)
