@@ -20,10 +20,20 @@ from pyspark.sql import functions as F
 
 from .common import word_list
 
-#: Lower-case phrases of notices; a short line that has one is boilerplate.
-BOILERPLATE = ("all rights reserved", "terms of service", "terms of use", "privacy policy", "cookie policy", "accept cookies", "use cookies", "subscribe to our", "sign up for our", "javascript is disabled", "enable javascript", "licensed under", "released under the", "this work is licensed", "lorem ipsum", "share this", "powered by")
-#: Lower-case words of menus.
-MENU = ("home", "about", "contact", "login", "logout", "register", "search", "menu", "next", "previous", "back", "top", "share", "print", "help", "faq", "sitemap", "subscribe")
+#: Lower-case phrases of notices, in English, German, French and Spanish; a short line that has one is boilerplate.
+BOILERPLATE = (
+    "all rights reserved", "terms of service", "terms of use", "privacy policy", "cookie policy", "accept cookies", "use cookies", "subscribe to our", "sign up for our", "javascript is disabled", "enable javascript", "licensed under", "released under the", "this work is licensed", "lorem ipsum", "share this", "powered by",
+    "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "datenschutzerklärung", "cookies akzeptieren", "verwendet cookies", "newsletter abonnieren",
+    "tous droits réservés", "conditions générales", "politique de confidentialité", "accepter les cookies", "utilise des cookies", "abonnez-vous",
+    "todos los derechos reservados", "condiciones de uso", "política de privacidad", "aceptar cookies", "utiliza cookies", "suscríbete a",
+)
+#: Lower-case words of menus, in the same languages.
+MENU = (
+    "home", "about", "contact", "login", "logout", "register", "search", "menu", "next", "previous", "back", "top", "share", "print", "help", "faq", "sitemap", "subscribe",
+    "startseite", "kontakt", "impressum", "datenschutz", "anmelden", "abmelden", "suche", "weiter", "zurück", "hilfe", "drucken", "teilen",
+    "accueil", "connexion", "recherche", "suivant", "précédent", "retour", "partager", "imprimer", "aide",
+    "inicio", "contacto", "buscar", "menú", "siguiente", "anterior", "volver", "compartir", "imprimir", "ayuda",
+)
 
 SYMBOL = re.compile(r"[#*$%&|<>]")
 SEPARATOR = re.compile(r" (?:\||>|») ")
@@ -39,7 +49,7 @@ def line_fails(line: str, words: list[bytes], most_symbols: float, most_shouts:
     low = line.lower()
     if n <= 15 and any(phrase in low for phrase in BOILERPLATE):
         return True
-    return n <= 15 and all(w in MENU for w in low.split())
+    return n <= 15 and all(w.decode("utf-8", "surrogatepass").lower() in MENU for w in words)
 
 
 def judge(text: str | None, most_symbols: float, most_shouts: float, least_words: int, most_repeat: int, most_lost: float) -> tuple:
