@@ -10,7 +10,7 @@ from .bpe import encode_decode
 from .common import table
 from .decontamination import contaminated
 from .oracles import ORACLES  # noqa: F401
-from .pii import pseudonymise
+from .pii import pii_key, pseudonymise
 from .quality_rules import clean_lines
 from .simhash_dedup import near_duplicates
 from .substring_dedup import remove_repeats
@@ -45,9 +45,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fitted on about 3,000 documents a language of those whose crc32(doc_id) mod 4 is not 2."""
+    """Fitted on about 3,000 documents a language of those whose crc32(doc_id) mod 4 is not 2. A null id has no such remainder."""
     docs = table(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     model = language_id.fit(docs.where(~held_out), "doc_id", "text", "lang", most_per_language=3_000)
     out = language_id.predict_languages(docs, model)
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
@@ -76,7 +76,7 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"), key="example key")
+    return pseudonymise(table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 QUERIES = {

@@ -54,7 +54,17 @@ def test_substring_dedup_matches_brute_force(spark):
     assert all(sum(e - s for s, e in r.spans) == r.n_removed for r in got)
 
 
+def test_sizes_keep_messages_in_proportion():
+    assert substring_dedup.sizes(0, 8, 6, 100) == (0, 0)
+    assert substring_dedup.sizes(800_000_000, 8_000_000, 6_000_000, 20_000_000) == (100, 134)
+    a, b = (np.prod([float(x) for x in substring_dedup.sizes(t, 8_000_000, 6_000_000, 20_000_000)]) for t in (10**12, 10**14))
+    assert 90 < b / a < 110
+
+
 def test_substring_dedup_edges(spark):
+    last = 2**63 - 1
+    rows = substring_dedup.remove_repeats(docs(spark, ["a b c", "a b c", None], [last, last - 1, None])).collect()
+    assert sorted((r.doc_id or 0, r.n_removed) for r in rows) == [(0, 0), (last - 1, 0), (last, 0)]
     assert substring_dedup.remove_repeats(docs(spark, [])).count() == 0
     text = " ".join(words(5, 25))
     got = sorted(r.n_removed for r in substring_dedup.remove_repeats(docs(spark, [text] * 3, [7, 7, None])).collect())
@@ -128,6 +138,18 @@ def test_pivots_never_discard_a_link():
     assert len(i) == 200 and len(simhash_dedup.close(np.arange(199), np.arange(1, 200), fps, table, 3)[0]) == 0
 
 
+def test_rows_without_an_id_are_bridges(spark, monkeypatch):
+    """0 and 63 are linked through 7 only, and so are components with ids by rows that have none."""
+    prints = [(1, 0), (None, 7), (2, 63), (9, 63 | 7 << 20), (None, 1 << 60), (3, -1), (None, -8)]
+    rows = spark.createDataFrame(prints, "doc_id long, fp long")
+    monkeypatch.setattr(simhash_dedup, "fingerprints", lambda *_: rows)
+    got = [(r.doc_id, r.fp, r.component_id) for r in simhash_dedup.near_duplicates(rows).collect()]
+    ids = [10 + i if d is None else d for i, (d, _) in enumerate(prints)]
+    roots = brute_components([f % 2**64 for _, f in prints], ids, 3)
+    assert len(got) == len(prints)
+    assert {(d, f): c for d, f, c in got} == {(d, f): min((prints[i][0] for i, x in enumerate(roots) if x == r and prints[i][0] is not None), default=None) for (d, f), r in zip(prints, roots, strict=True)}
+
+
 def test_near_duplicates_edges(spark):
     assert simhash_dedup.near_duplicates(docs(spark, [])).count() == 0
     rows = simhash_dedup.near_duplicates(docs(spark, ["a b c d", "a b c d", "q", "a b c d"], [5, None, None, 3])).collect()
@@ -203,6 +225,13 @@ def test_quality_counts(spark):
     assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), len("".join(w)), 5, 1, len(covered))
 
 
+def test_quality_words_are_cut_as_in_the_contract(spark):
+    """U+00A0 and U+001C are parts of words, in menu lines too; rows without an id are judged like any other."""
+    menu, joined = "Startseite Kontakt\nAccueil\nHome", "Home\u00a0About\nHome\x1cAbout"
+    got = quality_rules.clean_lines(docs(spark, [menu, joined, menu], [1, None, None]), least_words=1, most_repeat=100).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_kept_words) for r in got) == [(0, 2, 2), (0, 4, 0), (1, 4, 0)]
+
+
 def test_quality_lines(spark):
     good = "\n".join(" ".join(words(i, 15, 9000)) + "." for i in range(6))
     nav = "Home | About | Contact | Login"
@@ -253,6 +282,38 @@ def test_decontamination_matches_brute_force(spark):
     assert decontamination.contaminated(docs(spark, texts), bench.where("false")).count() == 0
 
 
+def test_no_allowed_substitution_hides_an_item(spark):
+    """Every placement of every allowed number of substitutions is found, in the middle and hanging over the ends."""
+    texts, agree, bench = [], [], []
+    for length in range(3, 14):
+        least = -(-4 * length // 5)
+        for gone in combinations(range(length), length - least):
+            assert length == 13 or any(not set(m) & set(gone) for m in decontamination.masks_for(length, 0.8))
+        item = [f"b{length}v{i}" for i in range(length)]
+        bench.append((length, " ".join(item)))
+        for k in range(length - least + 2):
+            for gone in combinations(range(length), k):
+                texts.append(" ".join(["x y", *(f"s{i}" if i in gone else w for i, w in enumerate(item)), "z"]))
+                agree.append((length, length - k, least))
+        for cut in range(1, length):
+            texts += [" ".join(item[cut:]), " ".join(item[:-cut])]
+            agree += [(length, length - cut, least)] * 2
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    for most in (2_000_000, 0):
+        got = {(r.doc_id, r.item_id): r.best_overlap for r in decontamination.contaminated(docs(spark, texts), table, most_broadcast=most).collect()}
+        assert got == {(i, n): a for i, (n, a, least) in enumerate(agree) if a >= least}
+
+
+def test_decontamination_of_common_tokens_and_null_ids(spark):
+    """A seed that most documents hold, items that repeat it, rows without an id."""
+    texts = ["a " * 300, "a " * 12 + "b c d e", "a b " * 40, "q r s"]
+    bench = spark.createDataFrame([(1, "a " * 40), (2, "a " * 13 + "z"), (3, "a b " * 10), (None, "q r s")], "item_id long, text string")
+    rows = docs(spark, texts).union(docs(spark, ["q r s", "Q, R! s"], [None, None]))
+    for most in (2_000_000, 0):
+        got = {(r.doc_id, r.item_id): (r.window, r.best_overlap) for r in decontamination.contaminated(rows, bench, most_broadcast=most).collect()}
+        assert got == {(0, 1): (13, 13), (0, 2): (13, 13), (1, 1): (13, 12), (1, 2): (13, 12), (2, 3): (13, 13), (3, None): (3, 3), (None, None): (3, 3)}
+
+
 # 10
 
 
@@ -291,8 +352,68 @@ def test_pii_is_one_to_one(spark):
     assert len(set(out)) == len(ips) + len(days)
     other = [r.text for r in pii.pseudonymise(docs(spark, ips), "another").collect()]
     assert sum(a == b for a, b in zip(out, other, strict=False)) < 3
+    phones = [f"{a}{b:02d}-{c}55-{1000 + b}" for a in (1, 5) for b in range(40) for c in (0, 7)]
+    moved = [r.text for r in pii.pseudonymise(docs(spark, phones), "k").collect()]
+    inside = lambda p: p[0] > "1" and p[4] > "1"
+    assert len(set(moved)) == len(phones) and [inside(p) for p in moved] == [inside(p) for p in phones]
+
+
+def brute_digits(digits, tweak):
+    """The Feistel network over a string of digits, written out."""
+    u, n = len(digits) // 2, len(digits)
+    sizes, half = (10**u, 10 ** (n - u)), [int(digits[:u] or 0), int(digits[u:])]
+    for i in range(1, pii.ROUNDS + 1):
+        side = i % 2
+        h = int(hashlib.sha256(f"{tweak}|{n}|{i}|{half[1 - side]}".encode()).hexdigest()[:15], 16)
+        half[side] = (half[side] + h % sizes[side]) % sizes[side]
+    return (f"{half[0]:0{u}d}" if u else "") + f"{half[1]:0{n - u}d}"
 
 
+def test_pii_matches_brute_force(spark):
+    """Cards by a plain network and check digit; dates by a plain network over days, walked until they are valid."""
+    import datetime
+
+    cards = ["4390 7454 3616 6235", "4111-1111-1111-1111", "378282246310005"]
+
+    def card(text):
+        body = brute_digits("".join(c for c in text if c.isdigit())[:-1], "k|card")
+        check = next(d for d in "0123456789" if luhn(body + d))
+        left = iter(body + check)
+        return "".join(next(left) if c.isdigit() else c for c in text)
+
+    def date(text):
+        first = datetime.date(1900, 1, 1).toordinal() - 1
+        day, near = datetime.date.fromisoformat(text).toordinal() - 1, lambda d: first <= d < first + 73049
+        modern = near(day)
+        low, wide = (first, 271) if modern else (0, 1912)
+        while True:
+            sizes, half = (wide - 1, wide), [(day - low) // wide, (day - low) % wide]
+            for i in range(1, pii.ROUNDS + 1):
+                side = i % 2
+                half[side] = (half[side] + int(hashlib.sha256(f"k|date|yyyy-MM-dd|{i}|{half[1 - side]}".encode()).hexdigest()[:15], 16) % sizes[side]) % sizes[side]
+            day = half[0] * wide + half[1] + low
+            if day < 3652059 and near(day) == modern:
+                return datetime.date.fromordinal(day + 1).isoformat()
+
+    days = ["2024-02-29", "1900-01-01", "2099-12-31", "1899-12-31", "0001-01-01", "9999-12-31", "1582-10-10"]
+    got = [r.text for r in pii.pseudonymise(docs(spark, [*cards, *days]), "k").orderBy("doc_id").collect()]
+    assert got == [*map(card, cards), *map(date, days)]
+
+
+def test_pii_takes_the_longest_valid_run(spark):
+    texts = ["4111 1111 1111 1111 12/25", "4111 1111 1111 1111 123", "AT61 1904 3002 3457 3201 AND more", "AT61 1904 3002 3457 3201"]
+    got = [r.text for r in pii.pseudonymise(docs(spark, texts), "k").orderBy("doc_id").collect()]
+    assert got[0][:19] == got[1][:19] != texts[0][:19] and luhn(got[0][:19]) and got[0][19:] == " 12/25" and got[1][19:] == " 123"
+    assert got[2][:24] == got[3] != texts[3] and got[2][24:] == " AND more"
+
+
+def test_pii_edges(spark):
+    rows = docs(spark, ["4111-1111-1111-1111"] * 3, [None, None, 4])
+    assert len({r.text for r in pii.pseudonymise(rows, "k").collect()}) == 1
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonymise(rows, "")
+    assert pii.pii_key(spark) == pii.DEMO_KEY
+
 # 9
 
 
@@ -348,6 +469,27 @@ def test_url_rules(spark):
     assert url_filter.judge_urls(pages.where("false"), block, allow).count() == 0
 
 
+def test_url_ties_and_long_hosts(spark):
+    """Keys of one length: the alphabetically first, by either way; hosts of more labels than a filter could count; repeated rows without ids."""
+    block, allow = ["a.com/", "com/z/"], ["com/x/"]
+    urls = ["http://a.com/x/1", "http://a.com/z/", "http://b.com/x/", "http://" + "a." * 400 + "com/q", "http://" + "b." * 400 + "com/z/"]
+    want = ["a.com/", "a.com/", "com/x/", "a.com/", "com/z/"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(None, urls[2])] * 2, "page_id long, url string")
+    for size in (64_000_000, 0):
+        got = url_filter.judge_urls(pages, block, allow, most_bytes=size).collect()
+        assert {r.page_id: r.rule for r in got if r.page_id is not None} == dict(enumerate(want))
+        assert [(r.rule, r.verdict) for r in got if r.page_id is None] == [("com/x/", "allow")] * 2
+
+
+def test_cascade_ends(spark):
+    keys = spark.range(3000).select(F.concat(F.lit("h"), "id", F.lit("/")).alias("key"))
+    listed = [f"h{i}/" for i in range(0, 3000, 7)]
+    levels = url_filter.build_cascade(keys, listed, most_levels=2)
+    assert isinstance(levels[-1], url_filter.Listed)
+    flags = keys.select("key", F.get(url_filter.passes(levels, spark)(F.array(url_filter.key_hashes(F.col("key")))), F.lit(0)).alias("f"))
+    assert {r.key for r in flags.where("f").collect()} == set(listed)
+
+
 def test_cascade_is_exact(spark):
     keys = spark.range(5000).select(F.concat(F.lit("h"), "id", F.lit("/")).alias("key"))
     listed = [f"h{i}/" for i in range(0, 5000, 37)]
