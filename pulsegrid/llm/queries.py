@@ -22,7 +22,10 @@ def sha256_hex(column: str):
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Categories that the labels name, in chain order: low quality (quality 0), then toxic. Fitted on 10,000 labelled rows at most."""
+    """The chain of what `labels` names: low quality (quality 0), which is no toxicity but tells of it, then toxic.
+
+    Fitted on 10,000 labelled rows at most.
+    """
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     links = toxicity.fit_chain(*toxicity.training_rows(docs, labels, ["low_quality", "toxic"], "doc_id", "text", most_rows=10_000))

@@ -103,12 +103,12 @@ def log_odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Middle of the gap after which the F1 of out-of-fold predictions is best."""
+def best_threshold(p: np.ndarray, y: np.ndarray, beta: float = 1.5) -> float:
+    """Middle of the gap after which the F score of out-of-fold predictions is best; beta over 1 favours recall."""
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(p) + 1) + max(y.sum(), 1))
-    k = int(np.argmax(f1))
+    score = (1 + beta**2) * hits / (np.arange(1, len(p) + 1) + beta**2 * max(y.sum(), 1))
+    k = int(np.argmax(score))
     low = p[order[k + 1]] if k + 1 < len(p) else 0.0
     return float((p[order[k]] + low) / 2)
 
@@ -131,7 +131,11 @@ def fit_chain(rows: list[np.ndarray], labels: dict[str, np.ndarray], folds: int
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str, text_col: str, most_rows: int) -> tuple[list[np.ndarray], dict[str, np.ndarray]]:
-    """Features and labels of at most most_rows labelled documents, the first by a hash of their ids."""
+    """Features and labels of at most most_rows labelled rows, the first by a hash of their ids.
+
+    Of several labels of one id the greatest counts, category by category; a label row with a null is no label. Rows of
+    one id and the same features are one, so that a document that is often repeated does not crowd out others.
+    """
     wanted = labels.where(" and ".join(f"`{c}` is not null" for c in [id_col, *categories]))
     wanted = wanted.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(*(F.max(F.col(c).cast("int")).alias(f"y{i}") for i, c in enumerate(categories)))
     wanted = wanted.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most_rows)
@@ -144,10 +148,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], id_
             batch["x"] = [present(t, slots).tobytes() for t in batch.pop("text")]
             yield batch
 
-    # at most most_rows rows of a few integers
+    # at most most_rows ids of a few integers each
     sample = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", *ys, "text")
     kinds = ", ".join(f"{y} int" for y in ys)
-    got = sample.mapInPandas(read, f"doc_id long, {kinds}, x binary").toPandas().sort_values(["doc_id", "x"], kind="stable")
+    found = sample.mapInPandas(read, f"doc_id long, {kinds}, x binary").dropDuplicates(["doc_id", "x"])
+    got = found.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "x").limit(most_rows).toPandas().sort_values(["doc_id", "x"], kind="stable")
     return [np.frombuffer(x, np.int32) for x in got["x"]], {c: got[f"y{i}"].to_numpy() > 0 for i, c in enumerate(categories)}
 
 

@@ -548,6 +548,46 @@ def test_toxicity_chain(spark):
     assert toxicity.fit_chain([], {"a": np.empty(0, bool)})[0].bias == -20.0
 
 
+def test_toxicity_of_conflicting_and_repeated_labels(spark):
+    rows = [(i, f"word{i % 7} and more", "x") for i in range(40)] + [(0, "word0 and more", "x")] * 50
+    marks = [(i, int(i % 7 == 3)) for i in range(40)] + [(5, 1), (5, 0), (None, 1), (6, None)]
+    x, y = toxicity.training_rows(spark.createDataFrame(rows, "doc_id long, text string, y0 string"), spark.createDataFrame(marks, "doc_id long, toxic int"), ["toxic"], "doc_id", "text", 30)
+    assert len(x) == 30 and y["toxic"].sum() <= 8
+    all_x, all_y = toxicity.training_rows(spark.createDataFrame(rows, "doc_id long, text string, y0 string"), spark.createDataFrame(marks, "doc_id long, toxic int"), ["toxic"], "doc_id", "text", 1000)
+    assert len(all_x) == 40 and all_y["toxic"][5]
+
+
+def test_toxicity_matches_a_plain_chain(spark):
+    """The query's probabilities against the definition: sums of weights over a text's features, log odds handed on."""
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(["good words here", "an idiot, an idiot!", None, "", "idiot loweien " * 2000])] + [(None, "idiot")], "doc_id long, text string")
+    slot = lambda w: toxicity.Slots()[w][0]
+    at = np.sort(np.array([slot("idiot"), slot("good")], np.int32))
+    weight = {slot("idiot"): 3.0, slot("good"): -1.0}
+    w = np.array([weight[int(a)] for a in at])
+    links = [toxicity.Link("a", at, w, np.zeros(0), -1.0), toxicity.Link("b", at, w / 2, np.array([0.7]), 0.25, 0.8)]
+    for r in toxicity.predict_chain(table.union(table), links).collect():
+        text = {0: "good", 1: "idiot", 4: "idiot", None: "idiot"}.get(r.doc_id, "")
+        z = -1.0 + (weight[slot(text)] if text else 0.0)
+        a = 1 / (1 + np.exp(-z))
+        b = 1 / (1 + np.exp(-(0.25 + (weight[slot(text)] / 2 if text else 0.0) + 0.7 * np.log(min(max(a, 0.01), 0.99) / (1 - min(max(a, 0.01), 0.99))))))
+        assert abs(r.p_a - a) < 1e-9 and abs(r.p_b - b) < 1e-9 and r.is_a == (a >= 0.5) and r.is_b == (b >= 0.8)
+
+
+def test_language_scores_match_a_plain_decoder(spark):
+    """Every text's language and score by loops over bits and n-grams."""
+    rows = [(i, t, l) for i, (t, l) in enumerate([("the thing and that", "aa"), ("das ist der und", "bb"), ("que la una por", "cc")] * 3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(table, "doc_id", "text", "lang", 100)
+    texts = ["the und que", "der und ist", "por", "Ünd the 3"]
+    for r in language_id.predict_languages(docs(spark, texts), model).collect():
+        own = language_id.grams(texts[r.doc_id]).tolist()
+        losses = []
+        for code in model.code.tolist():
+            losses.append(sum(rel * np.log1p(np.exp(-c * sum(float(model.weights[g, b]) for g in own) / len(own) ** 0.5)) for b, (c, rel) in enumerate(zip(code, model.reliability, strict=True))))
+        best = int(np.argmin(losses))
+        assert r.lang_pred == model.names[best] and abs(r.score - 1 / sum(np.exp(losses[best] - x) for x in losses)) < 1e-4
+
+
 def test_digest_columns(spark):
     text = "a b c"
     out = substring_dedup.remove_repeats(docs(spark, [text])).select(F.sha2(F.col("kept_text").cast("binary"), 256).alias("h")).first()
