@@ -102,7 +102,8 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most_per_lan
                 if text:
                     own = sums.setdefault(lang, np.zeros(SLOTS * len(SIZES)))
                     own += np.bincount(grams(text), minlength=SLOTS * len(SIZES))
-        yield pd.DataFrame({"lang": list(sums), "counts": [x.tobytes() for x in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "counts": [x.tobytes() for x in sums.values()]})
 
     def add(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": [key[0]], "counts": [sum(np.frombuffer(x) for x in part["counts"]).tobytes()]})
