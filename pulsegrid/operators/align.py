@@ -18,24 +18,34 @@ def scatter(axis: DataFrame, sparse: DataFrame, *columns: str) -> DataFrame:
     return axis.join(sparse.select("rec", "idx", *columns), ["rec", "idx"], "left").fillna(0, list(columns))
 
 
+def interpolated(samples: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Linear interpolation of channels with nulls between their known samples, constant beyond the first and last.
+
+    names: channel to the name of its result. The known sample before is a running last value, the one ahead a running
+    last value from the other end: two sorts for all channels, and work in proportion to the samples.
+    """
+    rec = Window.partitionBy("rec")
+    known = {c: F.when(F.col(c).isNotNull(), F.struct("idx", F.col(c).alias("v"))) for c in names}
+    so_far = lambda order, c: F.last(known[c], ignorenulls=True).over(rec.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    out = samples.withColumns({f"_a_{c}": so_far(F.col("idx"), c) for c in names}).withColumns({f"_b_{c}": so_far(F.desc("idx"), c) for c in names})
+
+    def value(c: str) -> Column:
+        a, b = F.col(f"_a_{c}"), F.col(f"_b_{c}")
+        line = a["v"] + (b["v"] - a["v"]) * (F.col("idx") - a["idx"]) / (b["idx"] - a["idx"])
+        return F.when(a.isNull(), b["v"]).when(b.isNull() | (a["idx"] == b["idx"]), a["v"]).otherwise(line)
+
+    return out.withColumns({name: value(c) for c, name in names.items()}).drop(*(f"_{x}_{c}" for c in names for x in "ab"))
+
+
 def interpolate(samples: DataFrame, column: str, name: str) -> DataFrame:
-    """Linear interpolation of a channel with nulls between its known samples; constant beyond the first and last."""
-    order = Window.partitionBy("rec").orderBy("idx")
-    known = F.when(F.col(column).isNotNull(), F.struct("idx", F.col(column).alias("v")))
-    back = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(known, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    out = samples.withColumn("_a", back).withColumn("_b", ahead)
-    a, b = F.col("_a"), F.col("_b")
-    line = a["v"] + (b["v"] - a["v"]) * (F.col("idx") - a["idx"]) / (b["idx"] - a["idx"])
-    value = F.when(a.isNull(), b["v"]).when(b.isNull() | (a["idx"] == b["idx"]), a["v"]).otherwise(line)
-    return out.withColumn(name, value).drop("_a", "_b")
+    return interpolated(samples, {column: name})
 
 
 def filled(column: Column) -> Column:
-    """Forward fill of nulls, then back fill of leading ones, within a recording."""
+    """Forward fill of nulls, then back fill of leading ones, within a recording; leading ones all take its first known value."""
     order = Window.partitionBy("rec").orderBy("idx")
     forward = F.last(column, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first(column, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    first = F.first(column, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return F.coalesce(forward, first)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import iso_millis
+from ..session import settled
 from . import intervals as iv
 
 
@@ -45,18 +46,20 @@ def confusion_counts(detections: DataFrame, press_runs: DataFrame, movement: Dat
     windows of `window` samples with one sample skipped between them: a window with `least` positives or more is a
     false positive, else a true negative.
     """
+    detections, movement, lengths = settled(detections), settled(movement), settled(lengths)  # each is read several times
     around = press_runs.join(lengths, "rec").select("rec", F.greatest(F.lit(0), F.col("start") - back).alias("start"), F.least("n", F.col("end_excl") + ahead).alias("end_excl")).where("start < end_excl")
-    free = iv.overlapping(around, movement, "left_anti")
+    free = settled(iv.overlapping(around, movement, "left_anti"))
     hit = iv.overlapping(free, detections, "left_semi").groupBy("rec").agg(F.count("*").alias("tp"))
     miss = iv.overlapping(free, detections, "left_anti").groupBy("rec").agg(F.count("*").alias("fn"))
 
-    sensed = iv.merge(free)
+    sensed = settled(iv.merge(free))
     taken = iv.union(iv.overlapping(detections, sensed, "left_semi"), sensed)
     left = iv.overlapping(detections, sensed, "left_anti")
     whole = lengths.select("rec", F.lit(0).cast("long").alias("start"), F.col("n").alias("end_excl")).where("n > 0")
     # stretches that stay, each with the number of samples that stay before it
     order = Window.partitionBy("rec").orderBy("start")
     stays = iv.subtract(whole, taken).withColumn("before", F.coalesce(F.sum(F.col("end_excl") - F.col("start")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    stays = settled(stays)
     total = stays.groupBy("rec").agg(F.sum(F.col("end_excl") - F.col("start")).alias("m"))
     step = window + 1
     windows = total.select("rec", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / step))).alias("w"))
@@ -72,6 +75,17 @@ def confusion_counts(detections: DataFrame, press_runs: DataFrame, movement: Dat
     return out.select("rec", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tp", "fp", "tn", "fn")))
 
 
+def match_presses(counts: DataFrame, press_runs: DataFrame, detections: DataFrame) -> DataFrame:
+    """confusion_counts of predictions, with the numbers of presses and detections.
+
+    A recording in which nothing was pressed says nothing of misses or of false alarms: its counts are all 0.
+    """
+    number = lambda d, name: d.groupBy("rec").agg(F.count("*").alias(name))
+    out = counts.join(number(press_runs, "num_pressed"), "rec", "left").join(number(detections, "num_detections"), "rec", "left")
+    out = out.fillna(0, ["num_pressed", "num_detections"])
+    return out.select("rec", *(F.when(F.col("num_pressed") > 0, F.col(c)).otherwise(0).cast("long").alias(c) for c in ("tp", "fp", "tn", "fn")), "num_pressed", "num_detections")
+
+
 def metrics(counts: DataFrame) -> DataFrame:
     """Accuracy, sensitivity, precision, specificity, false positive rate, F1 and PABAK by recording and over all (rec null).
 

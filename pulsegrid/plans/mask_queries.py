@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import align, maps
 from ..operators import intervals as iv
+from ..session import settled
 from .registry import ORACLES, QUERIES
 from .tables import CHANNELS, EV, OUT, cells_sql, lengths, merge_sql, runs_sql, samples
 
@@ -28,6 +29,12 @@ def parts(spark, sf_dir):
     return s, lengths(s)
 
 
+def settled_parts(spark, sf_dir):
+    """For queries that read the samples many times."""
+    s = settled(samples(spark, sf_dir))
+    return s, lengths(s)
+
+
 def high(s):
     return iv.from_mask(s, F.col("x") >= HIGH)
 
@@ -104,13 +111,13 @@ def sensor_vote_sweep(spark, sf_dir):
 
 @query(f"WITH {EV}, {IMU}, {FM}, {CLEAN} {OUT} fms")
 def fm_map_decontaminate(spark, sf_dir):
-    s, n = parts(spark, sf_dir)
+    s, n = settled_parts(spark, sf_dir)
     return iv.merge(cleaned(s, n).select("rec", "start", "end_excl"))
 
 
 def cleaned(s, n):
     """Channels without the segments that share a sample with movement, judged over all channels together."""
-    channels, moved = fm_channels(s, n), movement(s, n)
+    channels, moved = settled(fm_channels(s, n)), settled(movement(s, n))  # each is read several times
     parts_ = iv.union(channels, moved)
     shared = iv.intersect(iv.merge(channels.select("rec", "start", "end_excl")), moved)
     bad = iv.overlapping(parts_, shared, "left_semi")
@@ -128,15 +135,15 @@ FUSE = f"WITH {EV}, {IMU}, {FM}, {CLEAN}, seen AS (SELECT f.rec, f.s, f.e, count
 
 @query(FUSE.format(what="c.channel"))
 def fusion_number(spark, sf_dir):
-    s, n = parts(spark, sf_dir)
-    c = cleaned(s, n)
+    s, n = settled_parts(spark, sf_dir)
+    c = settled(cleaned(s, n))
     return maps.fuse(iv.merge(c.select("rec", "start", "end_excl")), c, "number", 2)
 
 
 @query(FUSE.format(what="CASE c.channel WHEN 'click' THEN 'a' WHEN 'view' THEN 'a' ELSE 'b' END"))
 def fusion_type(spark, sf_dir):
-    s, n = parts(spark, sf_dir)
-    c = cleaned(s, n)
+    s, n = settled_parts(spark, sf_dir)
+    c = settled(cleaned(s, n))
     kinds = spark.createDataFrame([("click", "a"), ("view", "a"), ("signup", "b")], "channel string, type string")
     return maps.fuse(iv.merge(c.select("rec", "start", "end_excl")), c, "type", 2, kinds)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..ml import models, prepare
 from ..operators import hiccup, maps, report
 from ..operators import intervals as iv
-from .mask_queries import DEBOUNCE, EV, HI_DIL, IMU, dilate_intervals, imu_map, movement, parts, query
+from .mask_queries import DEBOUNCE, DILATE, EV, HI_DIL, IMU, dilate_intervals, high, imu_map, movement, parts, query, settled_parts
 from .signal_queries import rounded
 from .tables import OUT, lengths, merge_sql, samples, table  # noqa: F401
 
@@ -25,8 +25,8 @@ cnt AS (SELECT len.rec, (SELECT count(*) FROM fr WHERE fr.rec = len.rec AND hit)
 
 @query(CONF + " SELECT rec, tp, fp, tn, fn FROM cnt")
 def confusion_counts(spark, sf_dir):
-    s, n = parts(spark, sf_dir)
-    detections = iv.erode(dilate_intervals(spark, sf_dir), 4)
+    s, n = settled_parts(spark, sf_dir)
+    detections = iv.erode(iv.dilate(high(s).join(n, "rec"), DILATE, F.col("n")), 4)
     detections = detections.select("rec", "start", (F.col("end_excl") - 1).alias("end_excl")).where("start < end_excl")
     return report.confusion_counts(detections, maps.debounce(s.where("kind = 'purchase'"), n, DEBOUNCE), movement(s, n), n, back=1, ahead=1, least=2, window=5)
 
@@ -131,42 +131,44 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, near) AS k
 
 @query(f"{KNN} SELECT vec_id, near, dist, k FROM r WHERE k <= 5")
 def knn_topk(spark, sf_dir):
-    """Queries (every id divisible by 50) against all rows: they are broadcast in blocks, and each partition's own best go on to the merge."""
+    """Queries (every id divisible by 50) against all rows."""
     return nearest(table(spark, sf_dir, "embeddings"), 5)
 
 
-def nearest(vectors, k: int, block: int = 2048):
-    """Exact nearest neighbours of a stated query set: each block of queries is one broadcast of at most `block` vectors."""
+def nearest(vectors, k: int, block: int = 2048, rows_at_once: int = 16_384):
+    """Exact nearest neighbours of a stated query set, in one pass over the rows.
+
+    Queries and rows are dealt to blocks of bounded size; every pair of blocks is a group that gives each of its queries
+    the k nearest of its rows, and the nearest of those win. Nothing goes through the driver but two counts.
+    """
     import numpy as np
     import pandas as pd
 
-    spark = vectors.sparkSession
-    found, last = None, None
-    while True:  # bounded pages of the query set, by id
-        page = vectors.where("vec_id % 50 = 0" if last is None else f"vec_id % 50 = 0 and vec_id > {last}").select("vec_id", "embedding").orderBy("vec_id").limit(block).collect()
-        if not page:
-            break
-        last = page[-1].vec_id
-        shared = spark.sparkContext.broadcast((np.array([r.vec_id for r in page]), np.array([r.embedding for r in page], float)))
-
-        def best(batches, shared=shared):
-            ids, q = shared.value
-            for b in batches:
-                if not len(b):
-                    continue
-                b = b.sort_values("vec_id")
-                x, own = np.array(b["embedding"].tolist(), float), b["vec_id"].to_numpy()
-                d = np.sqrt(np.maximum(((q[:, None, :] - x[None, :, :]) ** 2).sum(2), 0)) if len(q) * len(x) < 4_000_000 else np.stack([np.sqrt(((x - v) ** 2).sum(1)) for v in q])
-                d = np.where(ids[:, None] == own[None, :], np.inf, d).round(6)
-                take = np.argsort(d, axis=1, kind="stable")[:, :k]  # rows are sorted by id: ties go to the smaller
-                yield pd.DataFrame({"vec_id": np.repeat(ids, take.shape[1]), "near": own[take].ravel(), "dist": np.take_along_axis(d, take, 1).ravel()})
-
-        part = vectors.select("vec_id", "embedding").mapInPandas(best, "vec_id long, near long, dist double").where("dist < double('inf')")
-        found = part if found is None else found.unionByName(part)
-        if len(page) < block:
-            break
+    v = vectors.select("vec_id", "embedding")
+    queries = v.where("vec_id % 50 = 0")
+    sizes = v.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % 50 == 0).alias("q")).first()
+    across, down = max(1, -(-sizes.q // block)), max(1, -(-sizes.n // rows_at_once))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    left = queries.select("*", own(across).alias("q"), every(down).alias("r"))
+    right = v.select("*", every(across).alias("q"), own(down).alias("r"))
+
+    def best(ask: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(ask) or not len(rows):
+            return pd.DataFrame({"vec_id": [], "near": [], "dist": []}).astype({"vec_id": "int64", "near": "int64"})
+        rows = rows.sort_values("vec_id")
+        x, names = np.array(rows["embedding"].tolist(), float), rows["vec_id"].to_numpy()
+        out = []
+        for at, vector in zip(ask["vec_id"].to_numpy(), ask["embedding"], strict=True):
+            d = np.sqrt(((x - np.asarray(vector, float)) ** 2).sum(1)).round(6)
+            d[names == at] = np.inf
+            take = np.argsort(d, kind="stable")[:k]  # rows are sorted by id: ties go to the smaller
+            out.append(pd.DataFrame({"vec_id": at, "near": names[take], "dist": d[take]}))
+        return pd.concat(out)
+
+    found = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInPandas(lambda a, b: best(a, b), "vec_id long, near long, dist double")
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("dist", "near"))
-    return found.withColumn("k", rank.cast("long")).where(F.col("k") <= k)
+    return found.where("dist < double('inf')").withColumn("k", rank.cast("long")).where(F.col("k") <= k)
 
 
 @query("WITH p AS (SELECT vec_id, label, (1 + sin(vec_id)) / 2 AS a, (1 + cos(vec_id * 2)) / 2 AS b, (1 + sin(vec_id * 3)) / 2 AS c FROM embeddings) SELECT vec_id, round((a + b + c) / 3, 6) AS score, CAST((a + b + c) / 3 >= 0.5 AS INT) AS prediction FROM p")

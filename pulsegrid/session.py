@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 def settled(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder: what is used many times is computed once, and survives lost executors.
 
-    The folder is the session's spark.checkpoint.dir; only a session without one gets a local folder.
+    The folder is the session's spark.checkpoint.dir; only a local session without one gets a folder of this machine.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()

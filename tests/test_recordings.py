@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid import config
+from pulsegrid.operators import report
 from pulsegrid.plans import detection, service
 from pulsegrid.sources import recordings, tables
 
@@ -116,3 +117,31 @@ def test_from_file_to_answers(spark, tmp_path):
     got = {r.jobId: r for r in service.answers(requests, service.movement_of(out["detections"], out["runs"], out["movement"], out["samples"], out["lengths"]), out["lengths"], starts, fs, 1.0, "m").collect()}
     body = json.loads(got["j1"].body)
     assert got["j1"].status == "Completed" and body["result"]["numKicks"] == 2 and len(body["result"]["events"]) == 2 and got["j2"].status == "Failed"
+
+
+def test_answers_by_request(spark):
+    """Every flag of a request, all types of events, matches only where something was pressed."""
+    rows = lambda *r: spark.createDataFrame(r, "rec string, start long, end_excl long")
+    ml, hiccups = rows(("a", 100, 200), ("a", 400, 500), ("a", 1000, 1100), ("b", 10, 20)), rows(("a", 390, 600))
+    lengths = spark.createDataFrame([("a", 6400), ("b", 6400)], "rec string, n long")
+    others = None
+    for i, name in enumerate(service.OTHERS):
+        part = rows(("a", 2000 + i, 2100)).withColumn("map", F.lit(name))
+        others = part if others is None else others.unionByName(part)
+    counts = spark.createDataFrame([("a", 1, 2, 3, 4), ("b", 5, 6, 7, 8)], "rec string, tp long, fp long, tn long, fn long")
+    matches = report.match_presses(counts, rows(("a", 5, 6)), ml)
+    assert {r.rec: (r.tp, r.fp, r.tn, r.fn, r.num_pressed, r.num_detections) for r in matches.collect()} == {"a": (1, 2, 3, 4, 1, 3), "b": (0, 0, 0, 0, 0, 1)}
+    flags = [("1", "t", "a", False, False, True), ("2", "t", "a", True, True, True), ("3", "t", "b", None, None, False), ("4", "t", "c", True, True, True)]
+    starts = spark.createDataFrame([("a", 0), ("b", 0)], "rec string, start_ms long")
+    asked = spark.createDataFrame(flags, service.REQUEST)
+    got = {r.jobId: json.loads(r.body) for r in service.answers(asked, ml, lengths, starts, 64.0, 1.0, "m", hiccups, others, matches).collect()}
+    plain, cleaned, quiet = (got[i]["result"] for i in "123")
+    assert plain["numKicks"] == 3 and "post_hiccup" not in plain and "onsetInterval" not in plain
+    assert {e["event_type"] for e in plain["events"]} == {service.KICKS, *service.OTHERS}
+    assert cleaned["numKicks"] == 3 and cleaned["post_hiccup"]["numKicks"] == 2
+    assert cleaned["onsetInterval"] == [300 / 64, 600 / 64] and cleaned["post_hiccup_onsetInterval"] == [900 / 64]
+    assert {e["event_type"] for e in cleaned["events"]} == {service.KICKS, service.HICCUPS, *service.OTHERS}
+    assert quiet["numKicks"] == 1 and "events" not in quiet and "match" not in quiet and plain["match"]["tp"] == 1
+    assert got["4"]["status"] == "Failed"
+    untimed = service.answers(asked, ml, lengths, starts.select("rec"), 64.0, 1.0, "m").where("jobId = '1'").first()
+    assert "events" not in json.loads(untimed.body)["result"]

@@ -125,3 +125,28 @@ def test_scalars(spark):
         one.select(scalar.str2bool(F.lit("maybe"))).collect()
     angles = one.select(*scalar.euler_degrees(*(F.lit(float(v)) for v in (np.cos(np.pi / 8), np.sin(np.pi / 8), 0, 0)))).first()
     assert angles[0] == pytest.approx(45) and angles[1] == pytest.approx(0) and angles[2] == pytest.approx(0)
+
+
+def test_interpolation_is_linear_in_the_samples(spark):
+    """Twice the samples of one recording take about twice the time, not four times."""
+    import time
+
+    def took(n):
+        s = spark.range(n).select(F.lit(0).alias("rec"), F.col("id").alias("idx"), F.when(F.col("id") % 8 == 3, F.sin("id")).alias("v"), F.when(F.col("id") % 50 == 49, F.col("id")).alias("w"))
+        began = time.time()
+        row = align.interpolated(s, {"v": "v", "w": "w"}).withColumn("f", align.filled(F.col("w"))).agg(F.sum("v"), F.min("f"), F.count("w")).first()
+        assert row[1] == 49 and row[2] == n
+        return time.time() - began
+
+    took(1000)
+    assert took(400_000) < 3 * took(200_000) + 2
+
+
+def test_interpolation_of_several_channels(spark):
+    rows = [(r, i, *(float(i * k) if (i + k) % 3 == 0 else None for k in (1, 2))) for r in (0, 1) for i in range(10)]
+    df = spark.createDataFrame(rows, "rec long, idx long, a double, b double")
+    got = align.interpolated(df, {"a": "a", "b": "c"}).orderBy("rec", "idx").toPandas()
+    for r in (0, 1):
+        for k, name in ((1, "a"), (2, "c")):
+            known = [i for i in range(10) if (i + k) % 3 == 0]
+            assert np.allclose(got[got.rec == r][name], np.interp(range(10), known, [i * k for i in known]))
