@@ -1,7 +1,8 @@
 """Classifiers by name, cross-validated fits, out-of-fold predictions and soft voting.
 
 Every model is a Spark ML estimator with probabilities; a kernel machine is random Fourier features under a linear
-one, boosting of weak trees is gradient boosting. Scores need not equal those of other libraries' solvers.
+one; "extra-trees" is a forest of subsampled trees with the best splits, since Spark ML has no random ones. Scores need
+not equal those of other libraries' solvers.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .boosting import AdaBoost
 from .prepare import probability_of_one
 
 
@@ -26,7 +28,7 @@ def registry(inputs: int) -> dict[str, Callable]:
         "log-regression": lambda: LogisticRegression(labelCol="label", weightCol="weight", regParam=1e-3),
         "random-forest": lambda: RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=50, maxDepth=6, impurity="entropy", seed=0),
         "extra-trees": lambda: RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=50, maxDepth=6, subsamplingRate=0.7, featureSubsetStrategy="log2", seed=1),
-        "adaboost": lambda: GBTClassifier(labelCol="label", weightCol="weight", maxIter=20, maxDepth=2, stepSize=0.3, seed=0),
+        "adaboost": lambda: AdaBoost(rounds=8, depth=2),
         "gradient-boosting": lambda: GBTClassifier(labelCol="label", weightCol="weight", maxIter=20, maxDepth=3, seed=0),
         "neural-net": lambda: MultilayerPerceptronClassifier(labelCol="label", layers=[inputs, 16, 2], maxIter=60, seed=0),
         "svm": lambda: LogisticRegression(labelCol="label", weightCol="weight", featuresCol="fourier", regParam=1e-3),
@@ -68,6 +70,18 @@ def tune(df: DataFrame, estimator, grid: dict[str, Sequence], fold_col: str = "f
     return CrossValidator(estimator=estimator, estimatorParamMaps=builder.build(), evaluator=scorer, numFolds=folds, foldCol=fold_col, parallelism=2).fit(df)
 
 
+def best_fold(df: DataFrame, make: Callable, folds: Sequence[int]) -> tuple[int, object]:
+    """The fold whose model, fitted on the others, has the greatest F1 on it (the first of equals), and that model."""
+    best = None
+    for f in folds:
+        model = make().fit(df.where(F.col("fold") != f))
+        row = scores(probability_of_one(model.transform(df.where(F.col("fold") == f)))).first()
+        f1 = row.f1 if row is not None else 0.0
+        if best is None or f1 > best[0]:
+            best = (f1, f, model)
+    return best[1], best[2]
+
+
 def soft_vote(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean score over members (column model), and 1 where it is 0.5 or more."""
     out = predictions.groupBy(*keys).agg(F.avg("score").alias("score"))
