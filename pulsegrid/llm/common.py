@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than space and U+0009 to U+000D; `bytes.split()` cuts UTF-8 just so.
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+DEFAULT_BATCH_BYTES = "67108864b"
+
 
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
@@ -33,6 +36,13 @@ def shared_folder(spark: SparkSession) -> None:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
 
 
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Texts go to Python in Arrow batches of some megabytes, not of 10,000 rows, so a worker's memory does not follow their
+    lengths. A setting of the session, and kept, as plans are made when they run; one that the user has made stays."""
+    if spark.conf.get(BATCH_BYTES) == DEFAULT_BATCH_BYTES:
+        spark.conf.set(BATCH_BYTES, most)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
