@@ -51,4 +51,12 @@ eq AS (SELECT g.doc_id, g.item_id, g.n, g.shift, b.j, CAST(d.tok = b.tok AS INT)
 win AS (SELECT doc_id, item_id, least(n, 13) AS len, j, n, sum(coalesce(same, 0)) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS agree FROM eq)
 SELECT doc_id, item_id, CAST(max(len) AS BIGINT) AS "window", CAST(max(agree) AS BIGINT) AS best_overlap FROM win WHERE j <= n - len + 1 AND agree >= ceil(0.8 * len) GROUP BY doc_id, item_id"""
 
-ORACLES = {"op2_url_filter": OP2, "op3_quality_rules": OP3, "op4_substring_dedup": OP4, "op7_decontamination": OP7}
+OP11 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+t AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, CAST('0x' || substr(s, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(s, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(s, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(s, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, CAST(len(w) AS BIGINT) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b FROM t),
+p AS (SELECT doc_id, text, n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+ array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid, array_to_string(w[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+ORACLES = {"op2_url_filter": OP2, "op3_quality_rules": OP3, "op4_substring_dedup": OP4, "op7_decontamination": OP7, "op11_fill_in_middle": OP11}

@@ -9,6 +9,7 @@ from . import html_extract, language_id, toxicity
 from .bpe import encode_decode
 from .common import table
 from .decontamination import contaminated
+from .fill_in_middle import fill_in_middle, restored
 from .oracles import ORACLES  # noqa: F401
 from .pii import pii_key, pseudonymise
 from .quality_rules import clean_lines
@@ -82,6 +83,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"), pii_key(spark))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha256_hex("output").alias("output_sha256"), F.sha2(restored("output", "form").cast("binary"), 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filter": op2_url_filter,
@@ -93,4 +99,5 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_html_extract": op9_html_extract,
     "op10_pii": op10_pii,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
