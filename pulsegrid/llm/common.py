@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,38 @@ def shared_folder(spark: SparkSession) -> None:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
 
 
+class Scratch:
+    """Tables of one computation, in a folder of their own below the shared one; the folder goes when the computation ends.
+
+    Called with a DataFrame it writes it down and reads it again: what is used many times is computed once, lineage is
+    cut, and lost executors lose nothing. `result` writes what outlives the computation.
+    """
+
+    def __init__(self, spark: SparkSession):
+        shared_folder(spark)
+        self.spark, self.n = spark, 0
+        self.folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _written(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        return self._written(df, f"{self.folder}/{self.n}")
+
+    def result(self, df: DataFrame) -> DataFrame:
+        return self._written(df, f"{self.folder.replace('/scratch-', '/result-')}-{uuid.uuid4().hex}")
+
+
 def small_batches(spark: SparkSession, most: str = "4m") -> None:
     """Texts go to Python in Arrow batches of some megabytes, not of 10,000 rows, so a worker's memory does not follow their
     lengths. A setting of the session, and kept, as plans are made when they run; one that the user has made stays."""

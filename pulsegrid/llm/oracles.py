@@ -59,4 +59,20 @@ p AS (SELECT doc_id, text, n, CASE WHEN text = '' OR contains(text, '<P>') OR co
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
 
-ORACLES = {"op2_url_filter": OP2, "op3_quality_rules": OP3, "op4_substring_dedup": OP4, "op7_decontamination": OP7, "op11_fill_in_middle": OP11}
+_CRC = "list_reduce(list_concat([4294967295::UBIGINT], list_concat(flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: list_concat([ascii(x)::UBIGINT], list_transform(range(8), lambda k: 1000::UBIGINT)))))), lambda c, x: CASE WHEN x < 1000 THEN xor(c, x) ELSE xor(c >> 1, (c & 1::UBIGINT) * 3988292384::UBIGINT) END)"
+
+OP13 = f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), left(coalesce(text, ''), 64), sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS mark, octet_length(encode(coalesce(text, ''))) AS size FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, max(pos) AS own, conv_id - conv_id % 5 AS base, CAST(xor({_CRC}, 4294967295::UBIGINT) % 9 AS BIGINT) AS h FROM t GROUP BY conv_id),
+f AS (SELECT c.*, least(c.h, coalesce(b.own, 0)) AS given FROM c LEFT JOIN c AS b ON b.conv_id = c.base),
+r AS (SELECT f.conv_id, given + pos - h AS d, mark, size FROM t JOIN f ON t.conv_id = f.conv_id WHERE pos > h UNION ALL SELECT f.conv_id, pos, mark, size FROM t JOIN f ON t.conv_id = f.base WHERE pos <= given),
+p AS (SELECT conv_id, d, size, sha256(string_agg(mark, ',') OVER (PARTITION BY conv_id ORDER BY d)) AS k FROM r UNION ALL SELECT conv_id, 0, 0, 'root' FROM f),
+n AS (SELECT d, k, min(conv_id) AS owner, count(*) AS n_convs, (count(*) - 1) * max(size) AS saved FROM p GROUP BY d, k),
+w AS (SELECT n.*, q.k AS pk, q.owner AS parent FROM n LEFT JOIN p ON p.conv_id = n.owner AND p.d = n.d - 1 LEFT JOIN n AS q ON q.d = p.d AND q.k = p.k),
+ch AS (SELECT d - 1 AS d, pk AS k, count(*) AS n FROM w WHERE d > 0 GROUP BY ALL),
+v AS (SELECT w.*, coalesce(ch.n, 0) AS n_children FROM w LEFT JOIN ch ON ch.d = w.d AND ch.k = w.k),
+s AS (SELECT p.d, p.k, sum(v.saved) AS saved, count(*) FILTER (WHERE v.n_children = 0) AS leaves FROM v JOIN p ON p.conv_id = v.owner AND p.d <= v.d GROUP BY ALL),
+e AS (SELECT d, k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ends FROM p JOIN (SELECT conv_id, max(d) AS d FROM p GROUP BY conv_id) USING (conv_id, d) GROUP BY d, k)
+SELECT v.owner AS conv_id, CAST(v.d AS BIGINT) AS depth, v.parent AS parent_conv_id, v.n_convs, CAST(n_children AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM v JOIN s ON s.d = v.d AND s.k = v.k LEFT JOIN e ON e.d = v.d AND e.k = v.k"""
+
+ORACLES = {"op2_url_filter": OP2, "op3_quality_rules": OP3, "op4_substring_dedup": OP4, "op7_decontamination": OP7, "op11_fill_in_middle": OP11, "op13_prefix_trie": OP13}

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from . import html_extract, language_id, toxicity
 from .bpe import encode_decode
-from .common import table
+from .common import Scratch, table
 from .decontamination import contaminated
 from .fill_in_middle import fill_in_middle, restored
 from .oracles import ORACLES  # noqa: F401
 from .pii import pii_key, pseudonymise
+from .prefix_trie import forked, prefix_trie
 from .quality_rules import clean_lines
 from .simhash_dedup import near_duplicates
 from .substring_dedup import remove_repeats
@@ -88,6 +89,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha256_hex("output").alias("output_sha256"), F.sha2(restored("output", "form").cast("binary"), 256).alias("restored_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations rebuilt as forks of every fifth one."""
+    with Scratch(spark) as keep:
+        return prefix_trie(*forked(table(spark, sf_dir, "conversations"), keep))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filter": op2_url_filter,
@@ -100,4 +107,5 @@ QUERIES = {
     "op9_html_extract": op9_html_extract,
     "op10_pii": op10_pii,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_prefix_trie": op13_prefix_trie,
 }
