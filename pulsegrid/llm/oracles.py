@@ -59,6 +59,12 @@ p AS (SELECT doc_id, text, n, CASE WHEN text = '' OR contains(text, '<P>') OR co
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
 
+_BASE32 = " || ".join(f"translate(to_base(CAST('0x' || substr(d, {1 + 10 * k}, 10) AS BIGINT), 32, 8), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')" for k in range(4))
+
+OP12 = f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY d, n) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM q"""
+
 _CRC = "list_reduce(list_concat([4294967295::UBIGINT], list_concat(flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: list_concat([ascii(x)::UBIGINT], list_transform(range(8), lambda k: 1000::UBIGINT)))))), lambda c, x: CASE WHEN x < 1000 THEN xor(c, x) ELSE xor(c >> 1, (c & 1::UBIGINT) * 3988292384::UBIGINT) END)"
 
 OP13 = f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), left(coalesce(text, ''), 64), sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS mark, octet_length(encode(coalesce(text, ''))) AS size FROM conversations WHERE conv_id IS NOT NULL),
@@ -75,4 +81,4 @@ e AS (SELECT d, k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS
 SELECT v.owner AS conv_id, CAST(v.d AS BIGINT) AS depth, v.parent AS parent_conv_id, v.n_convs, CAST(n_children AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
 FROM v JOIN s ON s.d = v.d AND s.k = v.k LEFT JOIN e ON e.d = v.d AND e.k = v.k"""
 
-ORACLES = {"op2_url_filter": OP2, "op3_quality_rules": OP3, "op4_substring_dedup": OP4, "op7_decontamination": OP7, "op11_fill_in_middle": OP11, "op13_prefix_trie": OP13}
+ORACLES = {"op2_url_filter": OP2, "op3_quality_rules": OP3, "op4_substring_dedup": OP4, "op7_decontamination": OP7, "op11_fill_in_middle": OP11, "op12_warc_zip": OP12, "op13_prefix_trie": OP13}

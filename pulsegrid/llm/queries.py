@@ -17,6 +17,7 @@ from .quality_rules import clean_lines
 from .simhash_dedup import near_duplicates
 from .substring_dedup import remove_repeats
 from .url_filter import judge_urls
+from .warc_zip import read_packages, resolved, write_packages
 
 
 def sha256_hex(column: str):
@@ -89,6 +90,15 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha256_hex("output").alias("output_sha256"), F.sha2(restored("output", "form").cast("binary"), 256).alias("restored_sha256"))
 
 
+def op12_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages of all pages, written, read back and removed."""
+    with Scratch(spark) as keep:
+        folder = f"{keep.folder}/packages"
+        write_packages(table(spark, sf_dir, "pages"), folder, keep)
+        rows = resolved(keep(read_packages(spark, folder)))
+        return keep.result(rows.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of conversations rebuilt as forks of every fifth one."""
     with Scratch(spark) as keep:
@@ -107,5 +117,6 @@ QUERIES = {
     "op9_html_extract": op9_html_extract,
     "op10_pii": op10_pii,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_warc_zip": op12_warc_zip,
     "op13_prefix_trie": op13_prefix_trie,
 }
