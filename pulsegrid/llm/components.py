@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import Scratch
+
+LINKS_A_TASK = 500_000
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -18,26 +20,29 @@ def _star(directed: DataFrame) -> DataFrame:
     return directed.join(least, "u")
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 60, keep: Scratch | None = None) -> DataFrame:
     """edges(a, b) of long ids to (node, component): component is the least id reachable from node.
 
     Only nodes that have an edge to another node are returned. Null ends and loops are ignored; no edges give no
-    rows. Every round is written with checkpoint(), so a lost executor costs no more than one round.
+    rows. Every round is written down, so a lost executor costs no more than one round; all but the result, which goes
+    to `keep` if there is one, is removed. Rounds of few links run in few tasks.
     """
-    shared_folder(edges.sparkSession)
-    links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
-    before = None
-    for _ in range(most_rounds):
-        large = _star(_both_ways(links)).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        small = _star(down)
-        small = small.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        links = small.distinct().checkpoint()
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if tuple(now) == before:
-            break
-        before = tuple(now)
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    stars = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.union(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    with Scratch(edges.sparkSession) as own:
+        links = own(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        tasks = -(-links.count() // LINKS_A_TASK) or 1
+        before = None
+        for _ in range(most_rounds):
+            large = _star(_both_ways(links)).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
+            down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
+            small = _star(down)
+            small = small.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
+            links = own(small.coalesce(tasks).distinct().coalesce(tasks))
+            now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+            if tuple(now) == before:
+                break
+            before = tuple(now)
+        else:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        stars = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        stars = stars.union(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).coalesce(tasks).distinct().coalesce(tasks)
+        return keep(stars) if keep else own.result(stars)
