@@ -1,8 +1,8 @@
 """Classifiers by name, cross-validated fits, out-of-fold predictions and soft voting.
 
 Every model is a Spark ML estimator with probabilities; a kernel machine is random Fourier features under a linear
-one; "extra-trees" is a forest of subsampled trees with the best splits, since Spark ML has no random ones. Scores need
-not equal those of other libraries' solvers.
+one; extra-trees, boosting by probabilities and nearest rows are this library's own. Scores need not equal those of other
+libraries' solvers.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import AdaBoost
+from .boosting import RealBoost
+from .ensemble import NearestRows
+from .extra_trees import ExtraTrees
 from .prepare import probability_of_one
 
 
@@ -27,8 +29,9 @@ def registry(inputs: int) -> dict[str, Callable]:
     return {
         "log-regression": lambda: LogisticRegression(labelCol="label", weightCol="weight", regParam=1e-3),
         "random-forest": lambda: RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=50, maxDepth=6, impurity="entropy", seed=0),
-        "extra-trees": lambda: RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=50, maxDepth=6, subsamplingRate=0.7, featureSubsetStrategy="log2", seed=1),
-        "adaboost": lambda: AdaBoost(rounds=8, depth=2),
+        "extra-trees": lambda: ExtraTrees(trees=50, depth=6),
+        "adaboost": lambda: RealBoost(rounds=4, stumps=4),
+        "nearest-rows": lambda: NearestRows(k=5),
         "gradient-boosting": lambda: GBTClassifier(labelCol="label", weightCol="weight", maxIter=20, maxDepth=3, seed=0),
         "neural-net": lambda: MultilayerPerceptronClassifier(labelCol="label", layers=[inputs, 16, 2], maxIter=60, seed=0),
         "svm": lambda: LogisticRegression(labelCol="label", weightCol="weight", featuresCol="fourier", regParam=1e-3),

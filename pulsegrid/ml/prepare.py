@@ -10,6 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .extra_trees import ExtraTrees
+
 
 def fit_mean_range(features: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     """(mean, range) of the columns that have no null or NaN, by one pass. A range of 0 counts as 1e-8."""
@@ -41,12 +43,14 @@ def rank_by_lasso(df: DataFrame, columns: Sequence[str], label: str, most: int)
     return [columns[i] for i in sorted(range(len(columns)), key=lambda i: (-size[i], i))[:most] if size[i] > 0]
 
 
-def rank_by_elimination(df: DataFrame, columns: Sequence[str], label: str, most: int, step: int = 1) -> list[str]:
-    """Drop the least important column of a random forest until `most` are left."""
+def rank_by_elimination(df: DataFrame, columns: Sequence[str], label: str, most: int, step: int = 1, extra: bool = False) -> list[str]:
+    """Drop the least important column of a random forest, or of extra-trees, until `most` are left."""
     left = list(columns)
     while len(left) > most:
-        model = RandomForestClassifier(labelCol=label, numTrees=20, maxDepth=5, seed=0).fit(assembled(df, left))
-        gain = model.featureImportances.toArray()
+        if extra:
+            gain = ExtraTrees(trees=20, depth=5).fit(assembled(df.withColumn("label", F.col(label)).withColumn("weight", F.lit(1.0)), left)).importances
+        else:
+            gain = RandomForestClassifier(labelCol=label, numTrees=20, maxDepth=5, seed=0).fit(assembled(df, left)).featureImportances.toArray()
         drop = set(sorted(range(len(left)), key=lambda i: (gain[i], -i))[: min(step, len(left) - most)])
         left = [c for i, c in enumerate(left) if i not in drop]
     return left

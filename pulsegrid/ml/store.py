@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Base
-from .boosting import AdaBoostModel
+from .boosting import AdaBoostModel, RealBoostModel
+from .ensemble import NearestRowsModel
+from .extra_trees import ExtraTreesModel
 from .prepare import mean_range
 
 
@@ -35,18 +37,27 @@ def processed(features: DataFrame, keys: Sequence[str], fitted: dict[str, tuple[
     return features.select(*keys, *((F.col(c) - known[c][0]).__truediv__(known[c][1]).alias(c) for c in scaled))
 
 
+#: Models of this library by the name that is stored with them; all others are Spark's.
+KINDS = {"adaboost": AdaBoostModel, "real-boost": RealBoostModel, "extra-trees": ExtraTreesModel, "nearest-rows": NearestRowsModel}
+
+
 def save_models(models: dict[str, object], path: str) -> None:
-    """Each model in a folder of its name, in Spark's own format; a boosted one as its trees and their weights."""
+    """Each model in a folder of its name, with its kind: Spark's own in its format, others as tables."""
+    spark = SparkSession.active()
     for name, model in models.items():
-        if isinstance(model, AdaBoostModel):
-            model.save(f"{path}/{name}")
+        kind = next((k for k, c in KINDS.items() if isinstance(model, c)), "spark")
+        if kind == "spark":
+            model.write().overwrite().save(f"{path}/{name}/model")
+        elif kind in ("extra-trees", "nearest-rows"):
+            model.save(spark, f"{path}/{name}/model")
         else:
-            model.write().overwrite().save(f"{path}/{name}")
+            model.save(f"{path}/{name}/model")
+        spark.createDataFrame([(kind,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}/kind")
 
 
 def load_model(spark: SparkSession, path: str):
-    boosted = AdaBoostModel.load(spark, path)
-    return boosted if boosted is not None else DefaultParamsReader.loadParamsInstance(path, spark)
+    kind = spark.read.text(f"{path}/kind").first().value
+    return KINDS[kind].load(spark, f"{path}/model") if kind in KINDS else DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
 
 
 def config_text(stages: dict[str, Base]) -> str:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..ml import models, prepare
+from ..ml import models, neighbours, prepare
+from ..ml.ensemble import Ensemble
 from ..operators import hiccup, maps, report
 from ..operators import intervals as iv
+from ..session import settled
 from .mask_queries import DEBOUNCE, DILATE, EV, HI_DIL, IMU, dilate_intervals, high, imu_map, movement, parts, query, settled_parts
 from .signal_queries import rounded
 from .tables import OUT, lengths, merge_sql, samples, table  # noqa: F401
@@ -196,9 +200,30 @@ def training_rows(spark, sf_dir):
     return models.fourier_features(prepare.assembled(e, [f"f{i}" for i in range(16)]), 16)
 
 
+@query()
+def nca_rank(spark, sf_dir):
+    """All columns by their weight in the first neighbourhood component of the rows' classes."""
+    columns = [f"f{i}" for i in range(16)]
+    rows = table(spark, sf_dir, "embeddings").select((F.col("label") < 5).cast("int").alias("label"), *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(columns)))
+    ranked = neighbours.rank_by_neighbours(rows, columns, "label", 16, components=4, rounds=15)
+    return spark.createDataFrame(list(enumerate(ranked, 1)), "rank int, feature string")
+
+
+@query()
+def ensemble_oof(spark, sf_dir):
+    """Out-of-fold scores of a soft-voting ensemble and of its members, all scored in one pass a fold."""
+    rows, names = settled(training_rows(spark, sf_dir)), ("log-regression", "extra-trees", "nearest-rows")
+    parts = []
+    for fold in range(3):
+        model = Ensemble({n: models.registry(16)[n] for n in names}).fit(rows.where(F.col("fold") != fold))
+        parts.append(model.transform(rows.where(F.col("fold") == fold)))
+    out = prepare.probability_of_one(reduce(DataFrame.unionByName, parts))
+    return out.select("vec_id", "label", "fold", *(F.round(f"score_{n.replace('-', '_')}", 6).alias(n.replace("-", "_")) for n in names), F.round("score", 6).alias("score"), F.col("prediction").cast("int").alias("prediction"))
+
+
 def _trainer(key: str):
     def run(spark, sf_dir):
-        rows = training_rows(spark, sf_dir).cache()
+        rows = settled(training_rows(spark, sf_dir))
         out = models.out_of_fold(rows, models.registry(16)[key], range(3))
         return out.select("vec_id", "label", "fold", F.col("prediction").cast("int").alias("prediction"), F.round("score", 6).alias("score"))
 
