@@ -11,6 +11,8 @@ it is inside (cycle walking), which keeps the map one-to-one.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,9 @@ IPV4 = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]
 DATE = r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 PHONE = r"(?<![\w+])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-])"
-CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"
+#: A space before one of these ends a run of digit groups: another kind of value begins there.
+OTHER = r"\d{4}-\d{2}-\d{2}(?!\d)|\d{2}[/.]\d{2}[/.]\d{4}(?!\d)|\d{3}-\d{2}-\d{4}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?!\d)|\d{1,3}\.\d"
+CARD = rf"(?<![\w.-])\d(?:(?: (?!{OTHER})|-)?\d){{12,240}}(?![\w-])"
 ANY = "|".join((EMAIL, IBAN, IPV4, DATE, SSN, PHONE, CARD))
 KINDS = ("email", "iban", "ipv4", "date", "ssn", "phone", "card")
 
@@ -147,19 +151,48 @@ def permute_digits_or_none(digits: Column, tweak: Column) -> Column:
     return F.when(digits == "", "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length(digits) - 1) / 32).cast("int")), piece), ""))
 
 
-def longest_valid(m: Column, valid, new) -> Column:
-    """new() of the longest run of whole groups from the match's start that is valid, and the rest as it is; null if none is."""
-    groups = F.split(m, "(?=[ -])")
-    runs = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), ""))
-    best = F.filter(runs, valid)
-    return F.get(F.transform(F.slice(best, 1, 1), lambda r: F.concat(new(r), F.substr(m, F.length(r) + 1))), F.lit(0))
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def replace_valid(m: Column, valid, new, most: int) -> Column:
+    """m with new() of its valid runs of whole groups, up to `most` groups each, and the rest as it is; null if none is valid.
+
+    Runs may begin and end at any group. Of valid runs that overlap, the one with most characters is taken, then the first.
+    """
+    bare = lambda run: F.regexp_replace(run, "^[ -]", "")
+
+    def within(groups: Column) -> Column:
+        size = F.size(groups)
+
+        def longest(i: Column) -> Column:
+            runs = F.transform(F.sequence(F.least(size - i, F.lit(most)), F.lit(1), F.lit(-1)), lambda n: F.struct(n.alias("n"), bare(F.array_join(F.slice(groups, i + 1, n), "")).alias("run")))
+            return F.get(F.filter(runs, lambda r: valid(r["run"])), F.lit(0))
+
+        def fold(best: Column) -> Column:
+            def step(x: Column, i: Column) -> Column:
+                b, group = F.get(best, i), F.get(groups, i)
+                beaten = F.exists(F.slice(best, i + 2, F.greatest(b["n"] - 1, F.lit(0))), lambda other: F.coalesce(F.length(other["run"]) > F.length(b["run"]), F.lit(False)))
+                take = b.isNotNull() & ~F.coalesce(beaten, F.lit(False))
+                mark = F.when(group.rlike("^[ -]"), F.left(group, F.lit(1))).otherwise("")
+                put = F.when(take, F.concat(x["out"], mark, new(b["run"]))).otherwise(F.concat(x["out"], group))
+                there = F.struct(put.alias("out"), F.when(take, i + b["n"]).otherwise(i + 1).alias("next"), (x["any"] | take).alias("any"))
+                return F.when(i < x["next"], x).otherwise(there)
+
+            start = F.struct(F.lit("").alias("out"), F.lit(0).alias("next"), F.lit(False).alias("any"))
+            return let(F.aggregate(F.sequence(F.lit(0), size - 1), start, step), lambda x: F.when(x["any"], x["out"]))
+
+        return let(F.transform(F.sequence(F.lit(0), size - 1), longest), fold)
+
+    return let(F.split(m, "(?=[ -])"), within)
 
 
 def _iban(m: Column, key: Column) -> Column:
     def valid(run: Column) -> Column:
         plain = F.regexp_replace(run, " ", "")
         body = F.substr(plain, F.lit(5))
-        return (F.length(plain) >= 12) & (only(body, "0-9") != "") & (mod97(F.concat(body, F.left(plain, F.lit(4)))) == 1)
+        return run.rlike("^[A-Z]{2}[0-9]{2}") & F.length(plain).between(12, 34) & (only(body, "0-9") != "") & (mod97(F.concat(body, F.left(plain, F.lit(4)))) == 1)
 
     def new(run: Column) -> Column:
         plain = F.regexp_replace(run, " ", "")
@@ -172,7 +205,7 @@ def _iban(m: Column, key: Column) -> Column:
 
         return F.aggregate(F.array(moved), F.lit(""), put)
 
-    return longest_valid(m, valid, new)
+    return replace_valid(m, valid, new, 9)
 
 
 def _ipv4(m: Column, key: Column) -> Column:
@@ -217,14 +250,14 @@ def _phone(m: Column, key: Column) -> Column:
 def _card(m: Column, key: Column) -> Column:
     def valid(run: Column) -> Column:
         digits = only(run, "0-9")
-        return (F.length(digits) >= 13) & (luhn_sum(digits, 0) % 10 == 0)
+        return F.length(digits).between(13, 19) & (luhn_sum(digits, 0) % 10 == 0)
 
     def new(run: Column) -> Column:
         digits = only(run, "0-9")
         body = permute_digits(F.left(digits, F.length(digits) - 1), F.concat_ws("|", key, F.lit("card")))
         return F.aggregate(F.array(body), F.lit(""), lambda _, b: refill(run, F.concat(b, F.pmod(-luhn_sum(b, 1), F.lit(10)).cast("string"))))
 
-    return longest_valid(m, valid, new)
+    return replace_valid(m, valid, new, 19)
 
 
 def found(m: Column, key: Column) -> Column:
@@ -248,8 +281,14 @@ def found(m: Column, key: Column) -> Column:
 
 
 def pii_key(spark: SparkSession) -> str:
-    """The secret in the session's spark.pulsegrid.pii.key; without one DEMO_KEY, which hides nothing from readers of this file."""
-    return spark.conf.get("spark.pulsegrid.pii.key", DEMO_KEY)
+    """The secret in the session's spark.pulsegrid.pii.key. Without one, sessions on this machine get DEMO_KEY, which hides
+    nothing from readers of this file, and a warning; sessions on a cluster an error."""
+    key = spark.conf.get("spark.pulsegrid.pii.key", None)
+    if not key:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.pulsegrid.pii.key: without a secret key pseudonyms hide nothing")
+        warnings.warn("spark.pulsegrid.pii.key is not set: pseudonyms are made with a public key", stacklevel=2)
+    return key or DEMO_KEY
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -257,7 +296,8 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
 
     A null text stays null with no findings; ids may be null or of any type. Every row is rewritten by itself, however
     often it comes; an empty table gives no rows; other columns are not read. What looks like a number or date but is
-    not valid is left as it is; of a card number or IBAN that other groups follow, the longest valid run is taken.
+    not valid is left as it is. A card number or IBAN may stand among other groups, before and after: of the valid runs
+    of groups the longest are taken; several in one row of groups count once in n_pii and kinds.
     An empty key is refused.
     """
     if not key:
