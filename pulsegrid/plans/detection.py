@@ -153,7 +153,7 @@ def featurise(segments: DataFrame, h: DataFrame, f: Features) -> DataFrame:
     named |= {n: F.get("_hilbert", F.lit(i)) for i, n in enumerate(("inst_amp_mean", "inst_freq_mean", "inst_amp_std", "inst_freq_std", "inst_amp_range", "inst_freq_range"))}
     named |= {"haar_mean": arrays.mean(haar), "haar_median": arrays.quantile(haar, 0.5), "haar_std": F.sqrt(arrays.moments(haar)["m2"])}
     named |= {f"conv_{k}": v for k, v in arrays.convolution_stats(F.col("_conv")).items()}
-    named |= {"num_atoms": F.lit(1.0), "tfmf": F.lit(0.0), "min": F.array_min(b), "median": arrays.quantile(b, 0.5)} | arrays.morphology(b, 1 / fs)
+    named |= {"num_atoms": F.lit(1.0), "tfmf": spectral.matched_filter(b), "min": F.array_min(b), "median": arrays.quantile(b, 0.5)} | arrays.morphology(b, 1 / fs)
     return s.select("rec", "det_id", "start", "end_excl", "channel", *(v.alias(k) for k, v in named.items()), (F.size("x") / fs).alias("duration"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import arrays, spectral
+from ..functions import arrays, extended, spectral
 from .mask_queries import query
 from .tables import table
 
@@ -98,3 +98,31 @@ def seg_hilbert(spark, sf_dir):
 def seg_constants(spark, sf_dir):
     """Duration in seconds, and the two features that are constant for segments of a quarter second or more."""
     return segments(spark, sf_dir).select("vec_id", (F.size("x") / 1024.0).alias("duration"), F.lit(1).alias("num_atoms"), F.lit(0.0).alias("tfmf"))
+
+
+STFT = f"""WITH {V}, fr AS (SELECT vec_id, f AS frame, i - 8 * f AS j, x FROM v, (SELECT unnest(range(7)) AS f) WHERE i >= 8 * f AND i < 8 * f + 16),
+ce AS (SELECT vec_id, frame, j, (x - avg(x) OVER (PARTITION BY vec_id, frame)) * (0.5 - 0.5 * cos(2 * pi() * j / 16)) AS y FROM fr),
+po AS (SELECT vec_id, frame, bin, (power(sum(y * cos(2 * pi() * bin * j / 16)), 2) + power(sum(y * sin(2 * pi() * bin * j / 16)), 2)) / 384 * CASE WHEN bin IN (0, 8) THEN 1 ELSE 2 END AS power FROM ce, (SELECT unnest(range(9)) AS bin) GROUP BY vec_id, frame, bin)"""
+
+
+@query(f"{STFT} SELECT vec_id, CAST(frame AS INT) AS frame, CAST(bin AS INT) AS bin, (8.0 + 8 * frame) / 64 AS time, bin * 4.0 AS frequency, round(power, 6) + 0.0 AS power FROM po")
+def stft_power(spark, sf_dir):
+    """Frames of 16 samples every 8 at 64 Hz; the window's squares add up to 6."""
+    out = spectral.stft(segments(spark, sf_dir), ["vec_id"], "x", window=16, hop=8, fs=64.0)
+    return out.withColumn("power", F.round("power", 6) + 0.0)
+
+
+@query(
+    f"""{STFT}, a AS (SELECT vec_id, frame, sum(power) * power(2, 0.25) * exp(-pi() * power((8 + 8 * frame) / 64.0 - 0.5, 2)) AS g FROM po GROUP BY vec_id, frame), t AS (SELECT sqrt(power(sum(cos(2 * pi() * 4 * b * 0.03)), 2) + power(sum(sin(2 * pi() * 4 * b * 0.03)), 2)) AS s FROM (SELECT unnest(range(9)) AS b))
+SELECT vec_id, round(sum(g) * max(s), 5) AS tfmf FROM a, t GROUP BY vec_id"""
+)
+def seg_matched_filter(spark, sf_dir):
+    """An atom in the middle of the segment."""
+    return spread(segments(spark, sf_dir), {"tfmf": spectral.matched_filter(F.col("x"), 16, 8, 64.0, time=0.5, frequency=0.03)})
+
+
+@query()
+def seg_extended(spark, sf_dir):
+    """All features of functions/extended.py at 64 Hz."""
+    e = segments(spark, sf_dir).select("vec_id", extended.extended(F.col("x"), 64.0).alias("e"))
+    return spread(e, {n: F.col(f"e.{n}") for n in extended.NAMES})
