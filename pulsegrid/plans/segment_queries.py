@@ -105,7 +105,7 @@ ce AS (SELECT vec_id, frame, j, (x - avg(x) OVER (PARTITION BY vec_id, frame)) *
 po AS (SELECT vec_id, frame, bin, (power(sum(y * cos(2 * pi() * bin * j / 16)), 2) + power(sum(y * sin(2 * pi() * bin * j / 16)), 2)) / 384 * CASE WHEN bin IN (0, 8) THEN 1 ELSE 2 END AS power FROM ce, (SELECT unnest(range(9)) AS bin) GROUP BY vec_id, frame, bin)"""
 
 
-@query(f"{STFT} SELECT vec_id, CAST(frame AS INT) AS frame, CAST(bin AS INT) AS bin, (8.0 + 8 * frame) / 64 AS time, bin * 4.0 AS frequency, round(power, 6) + 0.0 AS power FROM po")
+@query(f"{STFT} SELECT vec_id, CAST(frame AS INT) AS frame, CAST(bin AS INT) AS bin, CAST((8.0 + 8 * frame) / 64 AS DOUBLE) AS time, CAST(bin * 4 AS DOUBLE) AS frequency, round(power, 6) + 0.0 AS power FROM po")
 def stft_power(spark, sf_dir):
     """Frames of 16 samples every 8 at 64 Hz; the window's squares add up to 6."""
     out = spectral.stft(segments(spark, sf_dir), ["vec_id"], "x", window=16, hop=8, fs=64.0)
