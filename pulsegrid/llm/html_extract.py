@@ -16,8 +16,9 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,11 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import shared_folder, utf8
 
-PIECE = re.compile(
-    r"<!--(?:.*?-->|.*)|<(script|style|textarea|iframe)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1(?=[\s/>])[^>]*>|.*)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+)|<",
-    re.DOTALL | re.IGNORECASE,
-)
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")  # of a tag, behind its name
+RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in ("script", "style", "textarea", "iframe")}
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
@@ -56,6 +55,69 @@ START = np.array([-1.0, 0.5, -2.0, 1.0, -0.5, 1.0, 0.5, -1.0, 0.0, 0.5, -0.5, 1.
 RIDGE = np.array([0.002] * 12 + [0.2] * 2)
 
 
+def tag_ends(page: str) -> Callable[[int], int]:
+    """Where the tag that goes on from a position ends, or -1: its first > outside quotes. All answers are made in one walk
+    from the page's end, over its quotes and >: behind a closed quote a tag goes on as another does from there."""
+    marks = [m.start() for m in re.finditer("[>\"']", page)]
+    ends, later = [-1] * (len(marks) + 1), {}
+    for i in range(len(marks) - 1, -1, -1):
+        c = page[marks[i]]
+        if c == ">":
+            ends[i] = marks[i]
+        else:
+            ends[i] = ends[later[c] + 1] if c in later else -1
+            later[c] = i
+    return lambda at: ends[bisect_left(marks, at)]
+
+
+def pieces(page: str) -> Iterator[tuple[str | None, str, bool, str]]:
+    """(text, "", False, "") or (None, tag in lower case, whether it ends, attributes), in order; comments, declarations and
+    raw elements are passed over, a < that begins nothing is text. In time proportional to the page, however it is broken: only
+    a tag that does not end is looked through in vain, and from the first of them on `tag_ends` answers."""
+    at, n, ends, no_more = 0, len(page), None, False
+    while at < n:
+        if page[at] != "<":
+            to = page.find("<", at)
+            to = to if to >= 0 else n
+            yield page[at:to], "", False, ""
+            at = to
+            continue
+        if page.startswith("<!--", at):
+            to = page.find("-->", at + 4)
+            if to < 0:
+                return
+            at = to + 3
+            continue
+        m = NAME.match(page, at + 1)
+        if m:
+            if ends is None:
+                rest = REST.match(page, m.end())
+                stop = rest.end() - 1 if rest else -1
+                ends = None if rest else tag_ends(page)
+            else:
+                stop = ends(m.end())
+            if stop >= 0:
+                tag, after = m[2].lower(), page[m.end()]
+                at = stop + 1
+                if not m[1] and tag in RAW and (after in "/>" or after.isspace()):
+                    end = RAW[tag].search(page, at)
+                    to = page.find(">", end.end()) if end else -1
+                    if to < 0:
+                        return
+                    at = to + 1
+                else:
+                    yield None, tag, bool(m[1]), page[m.end() : stop]
+                continue
+        if not no_more and page[at + 1 : at + 2] in ("!", "?", "/"):
+            to = page.find(">", at + 2)
+            no_more = to < 0
+            if to >= 0:
+                at = to + 1
+                continue
+        yield "<", "", False, ""
+        at += 1
+
+
 def hint_of(tag: str, attributes: str, inside: int) -> int:
     """+1 content, -1 boilerplate, else what holds outside. A header or footer inside content says nothing."""
     if tag in ("header", "footer") and inside > 0:
@@ -94,21 +156,16 @@ def blocks_of(page: str | None) -> list[tuple[str, int, int, int, bool, str, int
             depth = low = own[4]
         texts, linked = [], 0
 
-    for m in PIECE.finditer(page or ""):
-        text = m[5]
-        if text is not None or m[0] == "<":
+    for text, tag, ends, attributes in pieces(page or ""):
+        if text is not None:
             if not in_head:
                 if not texts:
                     top = stack[-1]
                     own = (stack[-1][1], stack[-2][2] if len(stack) > 1 else 0, top[0] in ("h1", "h2", "h3", "h4", "h5", "h6"), top[0], len(stack))
-                text = html.unescape(text or "<")
+                text = html.unescape(text)
                 texts.append(text)
                 linked += len(text) * (in_link > 0)
             continue
-        tag = m[3]
-        if tag is None:
-            continue
-        tag, ends = tag.lower(), bool(m[2])
         if tag in ("head", "title"):
             in_head = not ends
             continue
@@ -136,11 +193,11 @@ def blocks_of(page: str | None) -> list[tuple[str, int, int, int, bool, str, int
             if (stack[-1][0] == "p" and not skipped) or (tag == stack[-1][0] and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
                 places[stack.pop()[0]].pop()
                 low = min(low, len(stack))
-            if tag == "svg" and m[4].endswith("/"):
+            if tag == "svg" and attributes.endswith("/"):
                 continue
             number += 1
             places.setdefault(tag, []).append(len(stack))
-            stack.append((tag, hint_of(tag, m[4], stack[-1][1]), number))
+            stack.append((tag, hint_of(tag, attributes, stack[-1][1]), number))
             if skipped:
                 marks[number] = len(out), in_link
             in_link = in_link if skipped else 0
