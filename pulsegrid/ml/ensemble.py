@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from .prepare import probability_of_one
 
 
+def matrix(rows: list, values) -> np.ndarray:
+    """A row of values(row) for each row; no rows have no columns."""
+    return np.array([values(r) for r in rows], float) if rows else np.empty((0, 0))
+
+
 class NearestRows:
     """The share of ones among the k nearest of the fitted rows (ties: those of the smaller row number).
 
@@ -25,7 +30,7 @@ class NearestRows:
     def fit(self, df: DataFrame) -> NearestRowsModel:
         rows = df.where("label is not null").select(vector_to_array("features").alias("x"), F.col("label").cast("int").alias("y"))
         taken = rows.orderBy(F.xxhash64(F.lit(self.seed), "x", "y"), "x", "y").limit(self.most_rows).collect()
-        return NearestRowsModel(np.array([r.x for r in taken], float).reshape(len(taken), -1), np.array([r.y for r in taken], float), self.k)
+        return NearestRowsModel(matrix(taken, lambda r: r.x), np.array([r.y for r in taken], float), self.k)
 
 
 class NearestRowsModel:
@@ -50,7 +55,7 @@ class NearestRowsModel:
 
         @F.pandas_udf("double")
         def score(x: pd.Series) -> pd.Series:
-            return pd.Series(shared.value.score(np.array(x.tolist(), float).reshape(len(x), -1)) if len(x) else [], dtype=float)
+            return pd.Series(shared.value.score(np.array(x.tolist(), float)) if len(x) else [], dtype=float)
 
         scored = df.withColumn("_one", score(vector_to_array("features")))
         return scored.withColumn("probability", array_to_vector(F.array(1 - F.col("_one"), F.col("_one")))).withColumn("prediction", (F.col("_one") >= 0.5).cast("double")).drop("_one")
@@ -62,7 +67,7 @@ class NearestRowsModel:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> NearestRowsModel:
         rows = spark.read.parquet(path).orderBy("row").collect()
-        return cls(np.array([r.x for r in rows], float).reshape(len(rows), -1), np.array([r.y for r in rows], float), rows[0].k if rows else 1)
+        return cls(matrix(rows, lambda r: r.x), np.array([r.y for r in rows], float), rows[0].k if rows else 1)
 
 
 class Ensemble:

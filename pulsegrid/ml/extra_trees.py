@@ -46,7 +46,7 @@ class Forest:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         levels = int(math.log2(self.feature.shape[1]))
-        return np.mean([self.one[t][self.at(x, t, levels)] for t in range(len(self.feature))], axis=0) if len(x) else np.zeros(0)
+        return np.mean([self.one[t][self.at(x, t, levels)] for t in range(len(self.feature))], axis=0)
 
 
 def drawn(seed: int, tree: int, node: int, columns: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +114,8 @@ class ExtraTrees:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held = np.full((len(names), len(forest.feature), base, most), start)
-            for batch in batches:
-                x, y, w = np.array(batch["x"].tolist(), float).reshape(len(batch), -1), batch["y"].to_numpy(), batch["w"].to_numpy()
+            for batch in (b for b in batches if len(b)):
+                x, y, w = np.array(batch["x"].tolist(), float), batch["y"].to_numpy(), batch["w"].to_numpy()
                 for t in trees:
                     k = forest.at(x, t, level) - base
                     here = np.flatnonzero(k >= 0)
@@ -168,7 +168,7 @@ class ExtraTreesModel:
 
         @F.pandas_udf("double")
         def score(x: pd.Series) -> pd.Series:
-            return pd.Series(shared.value.score(np.array(x.tolist(), float).reshape(len(x), -1)))
+            return pd.Series(shared.value.score(np.array(x.tolist(), float)) if len(x) else [], dtype=float)
 
         one = score(vector_to_array("features"))
         scored = df.withColumn("_one", one)
