@@ -49,11 +49,15 @@ def fourier_features(df: DataFrame, inputs: int, size: int = 64, gamma: float =
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Weight 1 for negatives, negatives per positive for positives."""
-    n = df.agg(F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos"))
-    ratio = n.select(F.coalesce(F.try_divide("neg", "pos"), F.lit(1.0)).alias("_w"))
+    ratio = class_ratio(df, label).select(F.coalesce("weight_of_one", F.lit(1.0)).alias("_w"))
     return df.crossJoin(F.broadcast(ratio)).withColumn("weight", F.when(F.col(label) == 1, F.col("_w")).otherwise(1.0)).drop("_w")
 
 
+def class_ratio(df: DataFrame, label: str = "label") -> DataFrame:
+    """One row: negatives per positive, null if there is no positive."""
+    return df.agg(F.try_divide(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).alias("weight_of_one"))
+
+
 def out_of_fold(df: DataFrame, make: Callable, folds: Sequence[int]) -> DataFrame:
     """Union of each fold's predictions by a model fitted on the others; columns of df, prediction and score."""
     parts = []

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .extra_trees import ExtraTrees
@@ -20,9 +20,9 @@ def fit_mean_range(features: DataFrame, columns: Sequence[str]) -> dict[str, tup
     return {c: (m, r or 1e-8) for c, m, r, b in zip(columns, row.m, row.r, row.bad, strict=True) if not b and m is not None}
 
 
-def mean_range(features: DataFrame, fitted: dict[str, tuple[float, float]]) -> DataFrame:
-    """Scaled columns in place of the fitted ones; the columns left out in fitting are dropped, here and in prediction."""
-    return features.select(*((F.col(c) - m).__truediv__(r).alias(c) for c, (m, r) in fitted.items()))
+def mean_range(features: DataFrame, fitted: dict[str, tuple[float, float]], keep: Sequence[str] = ()) -> DataFrame:
+    """Columns `keep`, and scaled columns in place of the fitted ones; those left out in fitting are dropped, here and in prediction."""
+    return features.select(*keep, *((F.col(c) - m).__truediv__(r).alias(c) for c, (m, r) in fitted.items()))
 
 
 def assembled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -61,13 +61,15 @@ def voted(ranked: DataFrame, least: int) -> DataFrame:
     return ranked.groupBy("feature").agg(F.countDistinct("ranker").alias("votes")).where(F.col("votes") >= least)
 
 
-def stratified_folds(rows: DataFrame, label: str, key: str, k: int, ratio: float | None = None, seed: int = 0) -> DataFrame:
+def stratified_folds(rows: DataFrame, label: str, key: str, k: int, ratio: float | None = None, seed: int = 0, order: Column | None = None, span: int = 512) -> DataFrame:
     """Column fold: rows of each class, in a seeded order, cut in k equal parts, the rest to the last.
 
     ratio under-samples negatives to that many per positive first. Ranks are taken within hash buckets and offset by
-    the buckets' sizes, so that no class is sorted in one task.
+    the buckets' sizes, so that no class is sorted in one task. `order` gives an order of one's own in place of the seeded
+    one, in buckets of `span` of its values; ties go by key.
     """
-    mixed = rows.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_b", F.pmod(F.shiftright("_h", 8), F.lit(256)))
+    mixed = rows.withColumn("_h", F.xxhash64(F.lit(seed), key) if order is None else order)
+    mixed = mixed.withColumn("_b", F.pmod(F.shiftright("_h", 8), F.lit(256)) if order is None else F.floor(F.col("_h") / span))
     sizes = mixed.groupBy(label, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(label, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

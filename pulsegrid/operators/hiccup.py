@@ -52,7 +52,7 @@ def candidate_regions(reduced: DataFrame, movement: DataFrame, lengths: DataFram
     wide = iv.dilate(reduced.join(lengths, "rec"), p.samples(p.period), F.col("n"))
     joined = iv.fill_gaps_over(wide, movement, p.samples(p.body_gap))
     runs = iv.continuity(joined, p.samples(p.continuous), p.samples(60 / p.exceptions_per_minute), p.samples(p.tolerance))
-    return iv.label(runs.where("end_excl - start > 1"), name="region").select("rec", "region", "start", (F.col("end_excl") - 1).alias("end_excl"))
+    return iv.regions(runs)
 
 
 def consistent(regions: DataFrame, samples: DataFrame, sensor: str, p: HiccupParameters, width: int) -> DataFrame:
@@ -67,7 +67,7 @@ def consistent(regions: DataFrame, samples: DataFrame, sensor: str, p: HiccupPar
     plain = near.join(mad, "rec").withColumn("y", zero_outliers(F.col("x"), F.col("med"), F.col("mad"), p.outlier))
     spread = plain.groupBy("rec").agg((F.max("y") - F.min("y")).alias("spread"))
     level = s.join(spread, "rec").withColumn("level", moving_average("x", width) + F.col("spread") * p.y_shift)
-    inside = level.join(regions.select(F.col("rec").alias("_rec"), "region", "start", "end_excl"), (F.col("rec") == F.col("_rec")) & F.col("idx").between(F.col("start"), F.col("end_excl") - 1))
+    inside = iv.held(level, regions.select("rec", "region", "start", "end_excl"))
     inside = inside.select("rec", "region", "idx", "x", "level")
     peaks = local_maxima(inside, "x", ("rec", "region")).join(inside.select("rec", "region", "idx", "level"), ["rec", "region", "idx"]).where("x >= level")
 

@@ -120,18 +120,38 @@ def vote(tagged: DataFrame, maps: Sequence[str], least: int, by: Sequence[str] =
     return sweep(tagged, maps, on, by)
 
 
+def carried(rows: DataFrame, at: Column, marks: DataFrame, mark_at: Column, value: Column, name: str, by: Sequence[str] = REC, upto: bool = False) -> DataFrame:
+    """rows with `name`: the greatest `value` of the marks of their keys before position `at`, or at it too with `upto`.
+
+    One sort of both by keys and position and a running maximum, in place of a range join: the work grows with the rows
+    whatever they overlap. No such mark, or a null key, gives null.
+    """
+    keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(by)]
+    ours = rows.select(*keys, at.alias("_at"), F.lit(int(upto)).alias("_side"), F.struct(*rows.columns).alias("_row"))
+    theirs = marks.select(*keys, mark_at.alias("_at"), F.lit(int(not upto)).alias("_side"), value.alias("_value"))
+    order = Window.partitionBy(*(f"_k{i}" for i in range(len(by)))).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.lit(True)
+    for i in range(len(by)):
+        known = known & F.col(f"_k{i}").isNotNull()
+    seen = ours.unionByName(theirs, allowMissingColumns=True).withColumn("_best", F.when(known, F.max("_value").over(order)))
+    return seen.where(F.col("_row").isNotNull()).select("_row.*", F.col("_best").alias(name))
+
+
 def overlapping(a: DataFrame, b: DataFrame, how: str, by: Sequence[str] = REC, width: int | None = None) -> DataFrame:
     """left_semi or left_anti join of a with the intervals of b that share a sample with it.
 
-    With `width`, both sides are also dealt to buckets of that many samples, so that the join is an equi-join on
-    (keys, bucket) and a long recording is not one nested loop. Without, merged b is searched by recording.
+    An interval of a meets one of b just if the furthest end of those that start before it ends lies past its start: a
+    running maximum, in work that grows with the intervals. With `width`, both sides are dealt to buckets of that many
+    samples instead, so that a long recording is many tasks.
     """
+    if width is None:
+        far = carried(a, F.col("end_excl"), b, F.col("start"), F.col("end_excl"), "_far", by)
+        touched = F.coalesce(F.col("_far") > F.col("start"), F.lit(False))
+        return far.where(touched if how == "left_semi" else ~touched).drop("_far")
     right = b.select(*(F.col(k).alias(f"_{k}") for k in by), F.col("start").alias("_s"), F.col("end_excl").alias("_e"))
     touch = (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end_excl"))
     for k in by:
         touch = touch & (F.col(k) == F.col(f"_{k}"))
-    if width is None:
-        return a.join(right, touch, how)
     cells = lambda s, e: F.explode(F.sequence(F.floor(s / width), F.floor((e - 1) / width)))
     left = a.select(*by, "start", "end_excl").distinct().withColumn("_cell", cells(F.col("start"), F.col("end_excl")))
     right = right.withColumn("_cell_r", cells(F.col("_s"), F.col("_e")))
@@ -139,6 +159,49 @@ def overlapping(a: DataFrame, b: DataFrame, how: str, by: Sequence[str] = REC, w
     return a.join(hit, [*by, "start", "end_excl"], how)
 
 
+def met(a: DataFrame, b: DataFrame, by: Sequence[str] = REC) -> DataFrame:
+    """Every pair of an interval of a, which are disjoint, and one of b that share a sample: a's columns, b's row as `other`.
+
+    The intervals that one of b meets are neighbours: their numbers run from the number of those that end by its start
+    to that of those that start before its end. Pairs are an equi-join by number; nothing but true pairs is joined.
+    """
+    numbered = label(a.where("start < end_excl"), by, "_k")
+    low = carried(b.select(*by, "start", "end_excl", F.struct(*b.columns).alias("other")), F.col("start"), numbered, F.col("end_excl"), F.col("_k"), "_low", by, upto=True)
+    both = carried(low, F.col("end_excl"), numbered, F.col("start"), F.col("_k"), "_high", by)
+    first = F.coalesce("_low", F.lit(0)) + 1
+    pairs = both.where(F.col("_high") >= first).select(*by, "other", F.explode(F.sequence(first, F.col("_high"))).alias("_k"))
+    return numbered.join(pairs, [*by, "_k"]).select(*a.columns, "other")
+
+
+def held(points: DataFrame, intervals: DataFrame, by: Sequence[str] = REC, index: str = "idx", cell: int = 1024) -> DataFrame:
+    """Every pair of a point and an interval that holds it: columns of both, the keys once.
+
+    Cells of `cell` samples are a key of the join, so a point meets the intervals of its cell only, and a long recording
+    is many tasks.
+    """
+    at = lambda c: F.floor(c / cell)
+    dealt = intervals.where("start < end_excl").withColumn("_cell", F.explode(F.sequence(at(F.col("start")), at(F.col("end_excl") - 1))))
+    pairs = points.withColumn("_cell", at(F.col(index))).join(dealt, [*by, "_cell"])
+    return pairs.where((F.col(index) >= F.col("start")) & (F.col(index) < F.col("end_excl"))).drop("_cell")
+
+
+def longer(intervals: DataFrame, least: int, by: Sequence[str] = REC) -> DataFrame:
+    """Intervals of over `least` samples, each with `longest`, the greatest size of its keys."""
+    size = F.col("end_excl") - F.col("start")
+    return intervals.withColumn("longest", F.max(size).over(Window.partitionBy(*by))).where(size > least)
+
+
+def first_run(intervals: DataFrame, by: Sequence[str] = REC) -> DataFrame:
+    """The earliest interval of each key; its end is its last sample."""
+    return intervals.groupBy(*by).agg(F.min("start").alias("start"), (F.min_by("end_excl", "start") - 1).alias("end_excl"))
+
+
+def regions(intervals: DataFrame, by: Sequence[str] = REC) -> DataFrame:
+    """Intervals of over one sample, numbered by position as `region`; each ends at its last sample."""
+    numbered = label(intervals.where("end_excl - start > 1"), by, "region")
+    return numbered.select(*by, "region", "start", (F.col("end_excl") - 1).alias("end_excl"))
+
+
 def fill_gaps_over(bouts: DataFrame, events: DataFrame, most: int, by: Sequence[str] = REC) -> DataFrame:
     """Join neighbouring bouts at most `most` samples apart if an event lies in [last sample, next start)."""
     order = Window.partitionBy(*by).orderBy("start")

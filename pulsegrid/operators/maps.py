@@ -68,7 +68,6 @@ def fuse(segments: DataFrame, channels: DataFrame, kind: str, least: int, kinds:
     segments: (rec, start, end_excl) merged over channels; channels: (rec, channel, start, end_excl); kinds maps channel to type.
     """
     side = channels.join(F.broadcast(kinds), "channel").withColumnRenamed("type", "what") if kind == "type" else channels.withColumn("what", F.col("channel"))
-    s, c = segments.alias("s"), side.alias("c")
-    touch = (F.col("s.rec") == F.col("c.rec")) & (F.col("s.start") < F.col("c.end_excl")) & (F.col("c.start") < F.col("s.end_excl"))
-    seen = s.join(c, touch).groupBy("s.rec", "s.start", "s.end_excl").agg(F.countDistinct("c.what").alias("k"))
+    seen = iv.met(segments.select("rec", "start", "end_excl"), side.select("rec", "start", "end_excl", "what"))
+    seen = seen.groupBy("rec", "start", "end_excl").agg(F.countDistinct("other.what").alias("k"))
     return seen.where(F.col("k") >= least).select("rec", "start", "end_excl")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,9 +65,9 @@ def confusion_counts(detections: DataFrame, press_runs: DataFrame, movement: Dat
     total = stays.groupBy("rec").agg(F.sum(F.col("end_excl") - F.col("start")).alias("m"))
     step = window + 1
     windows = total.select("rec", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / step))).alias("w"))
-    s, d = stays.alias("s"), left.alias("d")
-    inside = s.join(d, (F.col("s.rec") == F.col("d.rec")) & (F.col("d.start") < F.col("s.end_excl")) & (F.col("s.start") < F.col("d.end_excl")))
-    inside = inside.select("s.rec", (F.greatest("d.start", "s.start") - F.col("s.start") + F.col("before")).alias("a"), (F.least("d.end_excl", "s.end_excl") - F.col("s.start") + F.col("before")).alias("b"))
+    piece = lambda c: c - F.col("start") + F.col("before")
+    inside = iv.met(stays, left.select("rec", "start", "end_excl"))
+    inside = inside.select("rec", piece(F.greatest("other.start", "start")).alias("a"), piece(F.least("other.end_excl", "end_excl")).alias("b"))
     cut = inside.select("rec", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / step), F.floor((F.col("b") - 1) / step))).alias("w"))
     overlap = F.greatest(F.lit(0), F.least("b", F.col("w") * step + window) - F.greatest("a", F.col("w") * step))
     positives = cut.groupBy("rec", "w").agg(F.sum(overlap).alias("p"))
@@ -97,3 +99,26 @@ def metrics(counts: DataFrame) -> DataFrame:
     named = {"accuracy": acc, "sensitivity": F.try_divide(tp, tp + fn), "precision": F.try_divide(tp, tp + fp), "specificity": F.try_divide(tn, tn + fp), "fp_rate": F.try_divide(fp, fp + tn), "f1": F.try_divide(2 * tp, 2 * tp + fp + fn), "pabak": 2 * acc - 1}
     extra = {"sensation_calc": tp + fn, "sensor_calc": tp + fp + tn + fn, "ml_calc": tp + fp}
     return c.select("rec", *(v.cast("long").alias(k) for k, v in extra.items()), *(F.round(v, 6).alias(k) for k, v in named.items()))
+
+
+def bouts(runs: DataFrame, gap: int, by: Sequence[str] = ("rec",)) -> DataFrame:
+    """Bouts of runs of over one sample, a new one after a gap of over `gap`; samples with the gaps inside bouts."""
+    w = runs.where("end_excl - start > 1").withColumn("gap", F.col("start") - F.lag("end_excl").over(Window.partitionBy(*by).orderBy("start")))
+    size = F.col("end_excl") - F.col("start")
+    short = F.coalesce(F.col("gap") <= gap, F.lit(False))
+    return w.groupBy(*by).agg(F.count_if(~short).alias("bouts"), F.sum(size + F.when(short, F.col("gap")).otherwise(0)).alias("samples_in"), F.max(size).alias("longest"), F.min(size).alias("shortest"))
+
+
+def bout_table(bouts_: DataFrame, hours: float) -> DataFrame:
+    """Bouts of all recordings in one row, with their number by hour observed and their mean samples."""
+    b, s = F.sum("bouts"), F.sum("samples_in")
+    return bouts_.agg(b.alias("bouts"), s.alias("samples_in"), F.max("longest").alias("longest"), F.min("shortest").alias("shortest"), F.try_divide(b, F.lit(hours)).alias("per_hour"), F.try_divide(s, b).alias("mean_samples"))
+
+
+def peak_levels(tall: DataFrame, windows: DataFrame, share: float) -> DataFrame:
+    """(channel, level): the quantile `share` of the greatest magnitudes of a channel in each window.
+
+    tall has rec, idx, channel and x; windows are disjoint intervals. A window without samples of a channel says nothing of it.
+    """
+    peaks = iv.held(tall, windows.select("rec", "start", "end_excl")).groupBy("rec", "start", "channel").agg(F.max(F.abs("x")).alias("peak"))
+    return peaks.groupBy("channel").agg(F.percentile("peak", F.lit(share)).alias("level"))

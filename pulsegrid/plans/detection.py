@@ -120,12 +120,9 @@ def labelled(dets: DataFrame, presses: DataFrame, movement: DataFrame, n: DataFr
 def slices(s: DataFrame, dets: DataFrame, names: list[str]) -> DataFrame:
     """(rec, det_id, start, end_excl, channel, x): the values of each channel in each detection, in order.
 
-    An array is as long as its detection, never as its recording. Samples meet the detections of their own second or
-    so of the recording only: cells of 1,024 samples are a key of the join.
+    An array is as long as its detection, never as its recording.
     """
-    cell = lambda c: F.floor(c / 1024)
-    d = dets.where("start < end_excl").select(F.col("rec").alias("_rec"), "det_id", "start", "end_excl", F.explode(F.sequence(cell(F.col("start")), cell(F.col("end_excl") - 1))).alias("_cell"))
-    inside = s.join(d, (F.col("rec") == F.col("_rec")) & (cell(F.col("idx")) == F.col("_cell")) & (F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("end_excl")))
+    inside = iv.held(s, dets.select("rec", "det_id", "start", "end_excl"))
     rows = inside.groupBy("rec", "det_id", "start", "end_excl").agg(F.array_sort(F.collect_list(F.struct("idx", *names))).alias("v"))
     series = F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.col(f"v.{c}").alias("x")) for c in names))).alias("c")
     return rows.select("rec", "det_id", "start", "end_excl", series).select("rec", "det_id", "start", "end_excl", "c.channel", "c.x")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import align, maps
+from ..operators import align, maps, report
 from ..operators import intervals as iv
 from ..session import settled
 from .registry import ORACLES, QUERIES
@@ -118,10 +118,7 @@ def fm_map_decontaminate(spark, sf_dir):
 def cleaned(s, n):
     """Channels without the segments that share a sample with movement, judged over all channels together."""
     channels, moved = settled(fm_channels(s, n)), settled(movement(s, n))  # each is read several times
-    parts_ = iv.union(channels, moved)
-    shared = iv.intersect(iv.merge(channels.select("rec", "start", "end_excl")), moved)
-    bad = iv.overlapping(parts_, shared, "left_semi")
-    return iv.overlapping(channels, bad, "left_anti")
+    return maps.without_contaminated(channels, moved)
 
 
 @query(f"WITH {EV}, {IMU}, {SENS} {OUT} sen")
@@ -183,21 +180,17 @@ def continuity_filter(spark, sf_dir):
 
 @query(f"WITH {EV}, {HI} SELECT rec, s AS start, e AS end_excl, max(e - s) OVER (PARTITION BY rec) AS longest FROM hi QUALIFY e - s > 2")
 def long_runs(spark, sf_dir):
-    from pyspark.sql import Window
-
-    runs = high(samples(spark, sf_dir)).withColumn("longest", F.max(F.col("end_excl") - F.col("start")).over(Window.partitionBy("rec")))
-    return runs.where("end_excl - start > 2")
+    return iv.longer(high(samples(spark, sf_dir)), 2)
 
 
 @query(f"WITH {EV}, {HI} SELECT rec, min(s) AS start, min_by(e, s) - 1 AS end_excl FROM hi GROUP BY rec")
 def first_run(spark, sf_dir):
-    return high(samples(spark, sf_dir)).groupBy("rec").agg(F.min("start").alias("start"), (F.min_by("end_excl", "start") - 1).alias("end_excl"))
+    return iv.first_run(high(samples(spark, sf_dir)))
 
 
 @query(f"WITH {EV}, {HI} SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY s) AS region, s AS start, e - 1 AS end_excl FROM hi WHERE e - s > 1")
 def region_split(spark, sf_dir):
-    regions = high(samples(spark, sf_dir)).where("end_excl - start > 1")
-    return iv.label(regions, name="region").select("rec", "region", "start", (F.col("end_excl") - 1).alias("end_excl"))
+    return iv.regions(high(samples(spark, sf_dir)))
 
 
 TWO = f"WITH {EV}, {HI_DIL}, {IMU}, {cells_sql('a', 'hd')}, {cells_sql('b', 'imu')}, k AS ({{how}}), {runs_sql('r', 'true', 'k')} {OUT} r"
@@ -227,24 +220,14 @@ bo AS (SELECT rec, count(*) FILTER (WHERE pe IS NULL OR s - pe > 6) AS bouts, su
 
 @query(f"WITH {EV}, {BOUTS} SELECT rec, CAST(bouts AS BIGINT) AS bouts, CAST(samples_in AS BIGINT) AS samples_in, longest, shortest FROM bo")
 def bout_counter(spark, sf_dir):
-    return bouts(high(samples(spark, sf_dir)))
-
-
-def bouts(runs, gap: int = GAP):
-    """Bouts of runs of over one sample, a new one after a gap of over `gap`; samples with the gaps inside bouts."""
-    from pyspark.sql import Window
-
-    w = runs.where("end_excl - start > 1").withColumn("gap", F.col("start") - F.lag("end_excl").over(Window.partitionBy("rec").orderBy("start")))
-    size = F.col("end_excl") - F.col("start")
-    short = F.coalesce(F.col("gap") <= gap, F.lit(False))
-    return w.groupBy("rec").agg(F.count_if(~short).alias("bouts"), F.sum(size + F.when(short, F.col("gap")).otherwise(0)).alias("samples_in"), F.max(size).alias("longest"), F.min(size).alias("shortest"))
+    return report.bouts(high(samples(spark, sf_dir)), GAP)
 
 
 @query(f"WITH {EV}, {BOUTS} SELECT CAST(sum(bouts) AS BIGINT) AS bouts, CAST(sum(samples_in) AS BIGINT) AS samples_in, max(longest) AS longest, min(shortest) AS shortest, round(sum(bouts) / 31.0, 6) AS per_hour, round(sum(samples_in) / sum(bouts), 6) AS mean_samples FROM bo")
 def bout_table(spark, sf_dir):
     """hours = 31"""
-    b = bout_counter(spark, sf_dir)
-    return b.agg(F.sum("bouts").alias("bouts"), F.sum("samples_in").alias("samples_in"), F.max("longest").alias("longest"), F.min("shortest").alias("shortest"), F.round(F.sum("bouts") / 31.0, 6).alias("per_hour"), F.round(F.try_divide(F.sum("samples_in"), F.sum("bouts")), 6).alias("mean_samples"))
+    out = report.bout_table(bout_counter(spark, sf_dir), hours=31.0)
+    return out.withColumns({c: F.round(c, 6) for c in ("per_hour", "mean_samples")})
 
 
 @query(
@@ -252,10 +235,8 @@ def bout_table(spark, sf_dir):
     " SELECT rec, event_type, strftime(make_timestamp(1700000000500000 + CAST(floor(s * 1000.0 / 1024) AS BIGINT) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS start_t, strftime(make_timestamp(1700000000500000 + CAST(floor(e * 1000.0 / 1024) AS BIGINT) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS end_t FROM al"
 )
 def events_out(spark, sf_dir):
-    from ..operators.report import timed_events
-
     tagged = iv.tag(dilate_intervals(spark, sf_dir), "detection").unionByName(iv.tag(imu_map(spark, sf_dir), "movement")).unionByName(iv.tag(sensation_map(spark, sf_dir), "sensation"))
-    return timed_events(tagged, F.lit(1_700_000_000_500), 1024.0)
+    return report.timed_events(tagged, F.lit(1_700_000_000_500), 1024.0)
 
 
 @query(f"WITH {EV} SELECT rec, idx - 5 AS idx, kind, x FROM ev JOIN len USING (rec) WHERE idx >= 5 AND idx < n - 5")

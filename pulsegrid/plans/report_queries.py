@@ -72,16 +72,13 @@ SELECT kind AS channel, round(quantile_cont(peak, 0.1), 6) AS level FROM p GROUP
 def percentile_peaks(spark, sf_dir):
     s, n = parts(spark, sf_dir)
     w = s.where("kind = 'purchase'").join(n, "rec").select("rec", F.greatest(F.lit(0), F.col("idx") - 3).alias("start"), F.least("n", F.col("idx") + 2).alias("end_excl"))
-    w = iv.merge(w).alias("w")
-    c = s.where(F.col("kind").isin("click", "view", "signup")).alias("c")
-    inside = w.join(c, (F.col("w.rec") == F.col("c.rec")) & (F.col("c.idx") >= F.col("w.start")) & (F.col("c.idx") < F.col("w.end_excl")))
-    peaks = inside.groupBy("w.rec", "w.start", "c.kind").agg(F.max(F.abs("c.x")).alias("peak"))
-    return peaks.groupBy(F.col("kind").alias("channel")).agg(F.round(F.percentile("peak", F.lit(0.1)), 6).alias("level"))
+    c = s.where(F.col("kind").isin("click", "view", "signup")).withColumnRenamed("kind", "channel")
+    return rounded(report.peak_levels(c, iv.merge(w), 0.1), "channel")
 
 
 @query("SELECT round(count(*) FILTER (WHERE toxic = 0) / count(*) FILTER (WHERE toxic = 1), 6) AS weight_of_one FROM labels")
 def class_weight(spark, sf_dir):
-    return table(spark, sf_dir, "labels").agg(F.round(F.try_divide(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)), 6).alias("weight_of_one"))
+    return rounded(models.class_ratio(table(spark, sf_dir, "labels"), "toxic"))
 
 
 @query("WITH r AS (SELECT l_suppkey AS rec, l_returnflag AS kind, sum(l_quantity) AS q FROM lineitem GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY q DESC, rec) AS rank FROM r) SELECT rec, kind, round(q, 2) AS q, rank FROM k WHERE rank <= 10")
@@ -108,20 +105,16 @@ def vote_k_of_n(spark, sf_dir):
 
 @query("WITH m AS (SELECT avg(l_quantity) AS q, max(l_quantity) - min(l_quantity) AS rq, avg(l_tax) AS t, max(l_tax) - min(l_tax) AS rt FROM lineitem) SELECT l_orderkey, l_linenumber, round((l_quantity - q) / rq, 6) AS quantity, round((l_tax - t) / rt, 6) AS tax FROM lineitem, m")
 def normalise_meanrange(spark, sf_dir):
-    """One pass for mean and range; the pair of rows is joined as one broadcast row."""
-    l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    stats = l.agg(*(f(c).alias(f"{n}_{c}") for c in ("l_quantity", "l_tax") for n, f in (("m", F.avg), ("hi", F.max), ("lo", F.min))))
-    scale = lambda c: F.round((F.col(c) - F.col(f"m_{c}")) / F.greatest(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.lit(1e-8)), 6)
-    return l.join(F.broadcast(stats)).select("l_orderkey", "l_linenumber", scale("l_quantity").alias("quantity"), scale("l_tax").alias("tax"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"), F.col("l_tax").alias("tax"))
+    scaled = prepare.mean_range(lines, prepare.fit_mean_range(lines, ["quantity", "tax"]), keep=("l_orderkey", "l_linenumber"))
+    return rounded(scaled, "l_orderkey", "l_linenumber")
 
 
 @query("WITH r AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY (doc_id * 7919) % 104729, doc_id) - 1 AS r, count(*) OVER (PARTITION BY toxic) AS n FROM labels) SELECT doc_id, toxic, CAST(least(r // greatest(n // 5, 1), 4) AS INT) AS fold FROM r")
 def kfold_assign(spark, sf_dir):
-    """Fixed order by a multiplicative hash that SQL has too; prepare.stratified_folds is the general form."""
-    w = Window.partitionBy("toxic")
-    r = F.row_number().over(w.orderBy(F.col("doc_id") * 7919 % 104729, "doc_id")) - 1
-    rows = table(spark, sf_dir, "labels").select("doc_id", "toxic", r.alias("r"), F.count("*").over(w).alias("n"))
-    return rows.select("doc_id", "toxic", F.least(F.floor(F.col("r") / F.greatest(F.floor(F.col("n") / 5), F.lit(1))), F.lit(4)).cast("int").alias("fold"))
+    """In the order of a multiplicative hash that SQL has too."""
+    rows = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return prepare.stratified_folds(rows, "toxic", "doc_id", 5, order=F.col("doc_id") * 7919 % 104729, span=512)
 
 
 @query()
