@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..ml import models, neighbours, prepare
 from ..ml.ensemble import Ensemble
 from ..operators import hiccup, maps, report
+from ..operators.nearest import nearest
 from ..operators import intervals as iv
 from ..session import settled
 from .mask_queries import DEBOUNCE, DILATE, EV, HI_DIL, IMU, dilate_intervals, high, imu_map, movement, parts, query, settled_parts
@@ -129,43 +130,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, near) AS k
 @query(f"{KNN} SELECT vec_id, near, dist, k FROM r WHERE k <= 5")
 def knn_topk(spark, sf_dir):
     """Queries (every id divisible by 50) against all rows."""
-    return nearest(table(spark, sf_dir, "embeddings"), 5)
-
-
-def nearest(vectors, k: int, block: int = 2048, rows_at_once: int = 16_384):
-    """Exact nearest neighbours of a stated query set, in one pass over the rows.
-
-    Queries and rows are dealt to blocks of bounded size; every pair of blocks is a group that gives each of its queries
-    the k nearest of its rows, and the nearest of those win. Nothing goes through the driver but two counts.
-    """
-    import numpy as np
-    import pandas as pd
-
-    v = vectors.select("vec_id", "embedding")
-    queries = v.where("vec_id % 50 = 0")
-    sizes = v.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % 50 == 0).alias("q")).first()
-    across, down = max(1, -(-sizes.q // block)), max(1, -(-sizes.n // rows_at_once))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    left = queries.select("*", own(across).alias("q"), every(down).alias("r"))
-    right = v.select("*", every(across).alias("q"), own(down).alias("r"))
-
-    def best(ask: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(ask) or not len(rows):
-            return pd.DataFrame({"vec_id": [], "near": [], "dist": []}).astype({"vec_id": "int64", "near": "int64"})
-        rows = rows.sort_values("vec_id")
-        x, names = np.array(rows["embedding"].tolist(), float), rows["vec_id"].to_numpy()
-        out = []
-        for at, vector in zip(ask["vec_id"].to_numpy(), ask["embedding"], strict=True):
-            d = np.sqrt(((x - np.asarray(vector, float)) ** 2).sum(1)).round(6)
-            d[names == at] = np.inf
-            take = np.argsort(d, kind="stable")[:k]  # rows are sorted by id: ties go to the smaller
-            out.append(pd.DataFrame({"vec_id": at, "near": names[take], "dist": d[take]}))
-        return pd.concat(out)
-
-    found = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInPandas(lambda a, b: best(a, b), "vec_id long, near long, dist double")
-    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("dist", "near"))
-    return found.where("dist < double('inf')").withColumn("k", rank.cast("long")).where(F.col("k") <= k)
+    e = table(spark, sf_dir, "embeddings")
+    return nearest(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 5)
 
 
 @query("WITH p AS (SELECT vec_id, label, (1 + sin(vec_id)) / 2 AS a, (1 + cos(vec_id * 2)) / 2 AS b, (1 + sin(vec_id * 3)) / 2 AS c FROM embeddings) SELECT vec_id, round((a + b + c) / 3, 6) AS score, CAST((a + b + c) / 3 >= 0.5 AS INT) AS prediction FROM p")
