@@ -1,10 +1,12 @@
 """Near-duplicates by the exact Jaccard similarity of word shingles.
 
-Equal shingle sets are joined to one node first. All sets hold their shingles in one order, common ones last; two
+Equal shingle sets are joined to one node first. Their SimHash fingerprints are linked by block keys, pivot table and
+Hamming check (simhash_dedup.py), and the sets of each component are compared with one of them. No distance of 64 bits
+reaches every similar pair; shared keys find the rest. All sets hold their shingles in one order, common ones last; two
 sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of each (prefix filter), so that nodes
 that share such a key are all the candidates there are, whatever the order. The first shingle that they share is even
 among the first n - ceil(2 t / (1 + t) n) + 1 of the smaller set, its head, as at least 2 t / (1 + t) n follow from there:
-keys that are in no node's head are dropped. Keys are 48 bits of a hash; where they collide, sets decide. In each key every node is first compared
+keys that are in no node's head are dropped, and nodes of a key meet by classes of sizes. Keys are 48 bits of a hash; where they collide, sets decide. In each key every node is first compared
 with one other, in rounds, and only keys whose nodes are still in several components give pairs; keys of very many
 nodes are cut into tiles. The pivot table holds each set's numbers of shingles in fixed classes, the distances to
 references in the metric of symmetric differences: by the triangle inequality a pair whose coordinates are too far
@@ -24,18 +26,17 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, partitions, utf8
 from .components import connected_components
-from .simhash_dedup import shingle_hashes
+from .simhash_dedup import fingerprint_links, majority, shingle_hashes
 
 #: The pivot table's columns: numbers of shingles in eight classes each, a byte for each class.
 PIVOTS = tuple(f"p{i}" for i in range(8))
 SLICE = 256  # texts whose sets a task holds at a time
 MOST_BROADCAST = 1_000_000  # ids; beyond it a shuffle join
-HEADS = 1 << 32
 MOST_MEMBERS = 512  # sets that one task compares with a hub's set; a hub of more has several tasks
 
 
@@ -90,8 +91,8 @@ def pivots(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """The set's row of a larger pivot table: numbers of hashes, 255 at most, in a quarter as many classes as it has hashes or more."""
-    classes = 1 << max(6, (len(hashes) - 1).bit_length() - 2)
+    """The set's row of a larger pivot table: numbers of hashes, 255 at most, in half as many classes as it has hashes or more."""
+    classes = 1 << max(6, (len(hashes) - 1).bit_length() - 1)
     counts = np.bincount(((hashes >> np.uint64(16)) % np.uint64(classes)).astype(np.int64), minlength=classes)
     return zstandard.ZstdCompressor(level=1).compress(counts.clip(max=255).astype(np.uint8).tobytes())
 
@@ -104,14 +105,21 @@ def sketch_distance(a: bytes, b: bytes) -> int:
 
 
 def prints_of(rows: DataFrame, shingle: int, similarity: float, common: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """By Arrow, a few texts at a time: a task holds neither a batch's texts nor its sets as Python objects."""
+    """By Arrow, a few texts at a time: a task holds neither a batch's texts nor its sets as Python objects. Equal sets of a
+    task give their prefix once, with the first id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             sets = [shingle_set(t.as_py(), shingle) for t in batch["text"]]
-            keys = [(prefix(s, similarity, common, rank) >> np.uint64(16)).view(np.int64) for s in sets]
+            names, keys = [set_hash(s) for s in sets], []
+            for h, s, known in zip(names, sets, batch["doc_id"].is_valid().to_pylist(), strict=True):
+                keys.append((prefix(s, similarity, common, rank) >> np.uint64(16)).view(np.int64) if known and h not in seen else np.empty(0, np.int64))
+                if known:
+                    seen.add(h)
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            columns = {"doc_id": batch["doc_id"], "h": pa.array([set_hash(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64())}
+            columns = {"doc_id": batch["doc_id"], "h": pa.array(names, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64())}
+            columns["fp"] = pa.array([majority(s) if len(s) else 0 for s in sets], pa.int64())
             columns["head"] = pa.array([head_length(len(s), similarity) for s in sets], pa.int64())
             columns["prefix"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
             columns["sketch"] = pa.array([sketch(s) for s in sets], pa.binary())
@@ -119,7 +127,7 @@ def prints_of(rows: DataFrame, shingle: int, similarity: float, common: np.ndarr
             columns |= {p: pa.array(table[:, i]) for i, p in enumerate(PIVOTS)}
             yield pa.RecordBatch.from_pydict(columns)
 
-    return rows.mapInArrow(run, "doc_id long, h long, n long, head long, prefix array<long>, sketch binary, " + ", ".join(f"{p} long" for p in PIVOTS))
+    return rows.mapInArrow(run, "doc_id long, h long, n long, fp long, head long, prefix array<long>, sketch binary, " + ", ".join(f"{p} long" for p in PIVOTS))
 
 
 def packed_set(hashes: np.ndarray) -> bytes:
@@ -165,9 +173,10 @@ def within(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray, simil
     return sizes & (np.abs(a - b).sum(1) <= (1 - similarity) / (1 + similarity) * (n_a + n_b) + 1e-6)
 
 
-def pairs_of_group(group: np.ndarray, component: np.ndarray, n: np.ndarray, head: np.ndarray, table: np.ndarray, similarity: float, block: int = 40_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of the same group and of different components that size and pivots do not rule out, with the key in the
-    smaller set's head (in both, if they are equal in size); rows are sorted by group."""
+def pairs_of_group(group: np.ndarray, component: np.ndarray, n: np.ndarray, own: np.ndarray, head: np.ndarray, table: np.ndarray, similarity: float, block: int = 40_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the same group and of different components that size and pivots do not rule out, one of them at least of
+    the group's own class of sizes, with the key in the smaller set's head (in both, if they are equal in size); rows
+    are sorted by group."""
     size = np.diff(np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])).max(initial=1)
     rows = np.arange(len(group))
     for step in range(1, size):
@@ -176,7 +185,7 @@ def pairs_of_group(group: np.ndarray, component: np.ndarray, n: np.ndarray, head
         for at in range(0, len(rows), block):
             i = rows[at : at + block]
             j = i + step
-            keep = (component[i] != component[j]) & (head[i] | (n[i] > n[j])) & (head[j] | (n[j] > n[i])) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
+            keep = (component[i] != component[j]) & (own[i] | own[j]) & (head[i] | (n[i] > n[j])) & (head[j] | (n[j] > n[i])) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
             i, j = i[keep], j[keep]
             keep = within(n[i], n[j], table[i], table[j], similarity)
             if keep.any():
@@ -204,40 +213,46 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[p
 
 def pairs_in(similarity: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in whole_groups(batches, ["key", "tile"]):
-            keys = rows[["key", "tile"]].to_numpy()
+        for rows in whole_groups(batches, ["key", "size", "tile"]):
+            keys = rows[["key", "size", "tile"]].to_numpy()
             group = np.r_[0, np.cumsum((keys[1:] != keys[:-1]).any(1))]
-            h, table = rows["h"].to_numpy(), table_of(rows, list(PIVOTS))
-            for i, j in pairs_of_group(group, rows["c"].to_numpy(), rows["n"].to_numpy(), rows["head"].to_numpy(bool), table, similarity):
-                yield pd.DataFrame({"a": np.minimum(h[i], h[j]), "b": np.maximum(h[i], h[j])})
+            h, n, table = rows["h"].to_numpy(), rows["n"].to_numpy(), table_of(rows, list(PIVOTS))
+            for i, j in pairs_of_group(group, rows["c"].to_numpy(), n, rows["own"].to_numpy(bool), rows["head"].to_numpy(bool), table, similarity):
+                yield pd.DataFrame({"a": np.minimum(h[i], h[j]), "b": np.maximum(h[i], h[j]), "both": n[i] + n[j]})
 
     return run
 
 
-def not_discarded(pairs: DataFrame, nodes: DataFrame, similarity: float, keep: Scratch) -> DataFrame:
-    """The pairs (a, b) that sizes, pivots and then the larger tables do not rule out."""
+def _end(nodes: DataFrame, c: str, names: tuple[str, ...]) -> DataFrame:
+    """Columns of the nodes as those of the pairs' end c."""
+    return nodes.select(F.col("h").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in names))
 
-    def one(c: str, names: tuple[str, ...], of: DataFrame = nodes) -> DataFrame:
-        return of.select(F.col("h").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in names))
 
+def by_pivots(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that sizes and pivots do not rule out, with `both`, the sum of their sizes."""
     # the table's bytes as SQL functions: one stage of a task with Python workers, not two
     byte = lambda c, i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255))
     apart = reduce(add, (F.abs(byte(F.col(f"{p}_a"), i) - byte(F.col(f"{p}_b"), i)) for p in PIVOTS for i in range(8)))
     sizes = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6
-    by_pivots = sizes & (apart <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6)
+    near = sizes & (apart <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6)
+    met = pairs.join(_end(nodes, "a", ("n", *PIVOTS)), "a").join(_end(nodes, "b", ("n", *PIVOTS)), "b")
+    return met.where(near).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("both"))
 
-    def by_sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def by_sketches(near: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of (a, b, both) that the larger tables do not rule out; near should be written down."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         share = (1 - similarity) / (1 + similarity)
         for batch in batches:
-            keep = [sketch_distance(a, b) <= share * n + 1e-6 for a, b, n in zip(batch["sketch_a"], batch["sketch_b"], batch["n_a"] + batch["n_b"], strict=True)]
+            keep = [sketch_distance(a, b) <= share * n + 1e-6 for a, b, n in zip(batch["sketch_a"], batch["sketch_b"], batch["both"], strict=True)]
             yield batch.loc[keep, ["a", "b"]]
 
-    near = keep(pairs.join(one("a", ("n", *PIVOTS)), "a").join(one("b", ("n", *PIVOTS)), "b").where(by_pivots).select("a", "b", "n_a", "n_b"))
     # the larger tables of these pairs' nodes only
     met = near.select(F.col("a").alias("h")).union(near.select("b")).distinct()
     few = F.broadcast if met.count() <= MOST_BROADCAST else (lambda x: x)
     tables = nodes.select("h", "sketch").join(few(met), "h", "left_semi")
-    return near.join(one("a", ("sketch",), tables), "a").join(one("b", ("sketch",), tables), "b").mapInPandas(by_sketch, "a long, b long")
+    return near.join(_end(tables, "a", ("sketch",)), "a").join(_end(tables, "b", ("sketch",)), "b").mapInPandas(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, similarity: float, keep: Scratch) -> DataFrame:
@@ -272,7 +287,25 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int,
     return members.join(hubs.repartition(tasks, "hub", "part"), ["hub", "part"]).mapInArrow(similar, "a long, b long").distinct()
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tile: int = 2048, rounds: int = 2, sample: int = 2_000) -> DataFrame:
+def shared_keys(prints: DataFrame, similarity: float) -> DataFrame:
+    """(key, size, h, n, own, head): nodes that share a key with one of like size, in groups by key and class of sizes.
+
+    Classes are so wide that similar sets are in one class or in neighbours; a node is in the group of its own class and
+    in that of the next, where it meets that class's own only. Rows are sent once, by key.
+    """
+    tasks = partitions(prints.sparkSession)
+    keyed = prints.where("doc_id is not null").select("h", "n", "head", F.posexplode("prefix").alias("at", "key")).select("key", "h", F.col("n").cast("int").alias("n"), (F.col("at") < F.col("head")).alias("head"))
+    # a key can come twice, from equal texts of several tasks or where hashes collide in a set
+    each = keyed.repartition(tasks, "key").groupBy("key", "h").agg(F.max("n").alias("n"), F.max("head").alias("head"))
+    own = F.floor(F.log(F.col("n").cast("double")) / (-math.log(similarity) + 1e-6)).cast("int")
+    sizes = F.explode(F.array(F.struct(own.alias("size"), F.lit(True).alias("own")), F.struct((own + 1).alias("size"), F.lit(False).alias("own")))).alias("s")
+    group = Window.partitionBy("key", "size")
+    met = each.select("key", "h", "n", "head", sizes).select("key", "s.size", "h", "n", "s.own", "head")
+    met = met.withColumn("nodes", F.count("*").over(group)).withColumn("owned", F.max("own").over(group)).withColumn("headed", F.max("head").over(group))
+    return met.where("nodes > 1 and owned and headed").drop("nodes", "owned", "headed")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tile: int = 2048, rounds: int = 3, sample: int = 2_000, distance: int = 3) -> DataFrame:
     """doc_id and component_id, the least doc_id that links reach: texts whose distinct shingles have the Jaccard similarity or more.
 
     A text of fewer words than a shingle has one shingle, all of it; null and empty texts have none and are equal to
@@ -284,34 +317,43 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     with Scratch(spark) as keep:
         prints = keep(prints_of(rows, shingle, similarity, *common_shingles(rows, shingle, sample, 50_000)))
-        nodes = keep(prints.groupBy("h").agg(F.min("doc_id").alias("node"), *(F.max(c).alias(c) for c in ("n", "sketch", *PIVOTS))).where("node is not null"))
-        keyed = prints.where("doc_id is not null").select("h", F.posexplode("prefix").alias("at", "key"), "head").select("h", "key", (F.col("at") < F.col("head")).alias("head"))
-        # nodes of a key, and in the upper half of the sum those that have it in their head
-        nodes_of = F.sum(F.lit(1).cast("long") + F.col("head").cast("long") * HEADS)
-        shared = keyed.groupBy("key").agg(nodes_of.alias("n")).where((F.col("n") >= HEADS) & (F.col("n") % HEADS > 1)).select("key")
-        # where hashes collide in a set, a key can come twice
-        state = keep(keyed.join(shared, "key").groupBy("key", "h").agg(F.max("head").alias("head")).withColumn("c", F.col("h")))
-        links = tried = spark.createDataFrame([], "a long, b long")
+        nodes = keep(prints.groupBy("h").agg(F.min("doc_id").alias("node"), *(F.max(c).alias(c) for c in ("n", "fp", "sketch", *PIVOTS))).where("node is not null"))
+
+        def decided(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+            """Of the pairs (a, b, both): those that were compared, and the links."""
+            compared = keep(by_sketches(keep(near), nodes, similarity))
+            return compared, keep(verified(compared, rows, nodes, shingle, similarity, keep))
+
+        def joined(links: DataFrame) -> DataFrame:
+            return connected_components(links, keep=keep).select(F.col("node").alias("h"), F.col("component").alias("c"))
+
+        # fingerprints within a few bits, and the sets of each of their components compared with one of it
+        alike = connected_components(fingerprint_links(nodes.select("fp", F.col("fp").alias("node")).distinct(), distance), keep=keep)
+        alike = nodes.select("h", "fp").join(alike.select(F.col("node").alias("fp"), "component"), "fp", "left").select("h", F.coalesce("component", "fp").alias("of"))
+        pairs = alike.join(alike.groupBy("of").agg(F.min("h").alias("a")), "of").where("h <> a").select("a", F.col("h").alias("b"))
+        tried, links = decided(by_pivots(pairs, nodes, similarity))
+        # the rest, by shared keys
+        state = keep(shared_keys(prints, similarity))
         for i in range(rounds + 1):
-            ends = state.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("count"), F.min(F.struct(F.xxhash64("h", F.lit(i)), "h", "c")).alias("one"))
+            state = keep(state.select("key", "size", "h", "n", "own", "head").join(joined(links), "h", "left").withColumn("c", F.coalesce("c", "h")))
+            one = F.min(F.struct(F.xxhash64("h", F.lit(i)), "h", "c", "n", "own", "head")).alias("one")
+            ends = state.groupBy("key", "size").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("count"), one).where("lo <> hi")
             # read twice; what a later round needs is a part of it
-            several = keep(state.join(ends.where("lo <> hi").select("key", "count", "one.h", "one.c").toDF("key", "count", "one_h", "one_c"), "key"))
+            state = keep(state.join(ends.select("key", "size", "count", "one"), ["key", "size"]))
             if i < rounds:
-                pairs = several.where("c <> one_c").select(F.least("h", "one_h").alias("a"), F.greatest("h", "one_h").alias("b"))
+                fit = (F.col("own") | F.col("one.own")) & (F.col("head") | (F.col("n") > F.col("one.n"))) & (F.col("one.head") | (F.col("one.n") > F.col("n")))
+                fit = fit & (F.least("n", "one.n") >= similarity * F.greatest("n", "one.n") - 1e-6) & (F.col("c") != F.col("one.c"))
+                pairs = state.where(fit).select(F.least("h", "one.h").alias("a"), F.greatest("h", "one.h").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+                near = by_pivots(pairs, nodes, similarity)
             else:
                 slices = F.ceil(F.col("count") / tile).cast("int")
                 own = F.pmod(F.xxhash64("h", F.lit(8)), F.col("slices")).cast("int")
-                tiles = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.least(s, F.col("own")).cast("long") * 10_000_000 + F.greatest(s, F.col("own")))
-                cut = several.withColumn("slices", slices).withColumn("own", own).select("key", "h", "c", "head", F.explode(tiles).alias("tile"))
-                cut = cut.join(nodes.drop("node", "sketch"), "h").repartition(partitions(spark), "key", "tile").sortWithinPartitions("key", "tile")
-                pairs = cut.select("key", "tile", "h", "c", "n", "head", *PIVOTS).mapInPandas(pairs_in(similarity), "a long, b long")
-            pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
-            pairs = keep(not_discarded(pairs, nodes, similarity, keep))
-            tried = tried.union(pairs)
-            links = links.union(keep(verified(pairs, rows, nodes, shingle, similarity, keep)))
-            if i < rounds:
-                found = connected_components(links, keep=keep).select(F.col("node").alias("h"), F.col("component").alias("c"))
-                state = keep(several.select("key", "h", "head").join(found, "h", "left").select("key", "h", "head", F.coalesce("c", "h").alias("c")))
+                tiles = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.least(s, F.col("slice")).cast("long") * 10_000_000 + F.greatest(s, F.col("slice")))
+                cut = state.withColumn("slices", slices).withColumn("slice", own).select("key", "size", "h", "c", "n", "own", "head", F.explode(tiles).alias("tile"))
+                cut = cut.join(nodes.select("h", *PIVOTS), "h").repartition(partitions(spark), "key", "size", "tile").sortWithinPartitions("key", "size", "tile")
+                near = cut.mapInPandas(pairs_in(similarity), "a long, b long, both long").distinct().join(tried, ["a", "b"], "left_anti")
+            compared, found = decided(near)
+            tried, links = tried.union(compared), links.union(found)
         named = lambda c: nodes.select(F.col("h").alias(c), F.col("node").alias(f"node_{c}"))
         edges = links.join(named("a"), "a").join(named("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         component = connected_components(edges, keep=keep)

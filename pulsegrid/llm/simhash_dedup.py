@@ -203,6 +203,25 @@ def links_in(k: int, names: tuple[str, ...], most: int):
     return run
 
 
+def fingerprint_links(nodes: DataFrame, distance: int, names: tuple[str, ...] = (), most: int = 0, tile: int = 4096) -> DataFrame:
+    """Forests (a, b) of the links of `distance` or fewer bits between nodes (fp, node, and `names` to verify by): block
+    keys bring pairs together, the pivot table discards, distances decide."""
+    blocks = blocks_for(nodes.count(), distance)
+    masks = block_masks(blocks, blocks - distance)
+    keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)))).alias("k")
+    keyed = nodes.select("fp", *names, "node", keys).select("fp", *names, "node", "k.t", "k.key")
+    shared = keyed.groupBy("t", "key").count().where("count > 1")
+    met = keyed.join(shared, ["t", "key"])
+    # a key with more nodes than a tile holds: every pair of its slices is a tile of its own
+    slices = F.ceil(F.col("count") / tile).cast("long")
+    own = F.pmod(F.xxhash64("node", F.lit(8)), F.col("slices"))
+    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda s: F.least(s, F.col("own")) * 2_000_000_000 + F.greatest(s, F.col("own")))
+    met = met.withColumn("slices", slices).withColumn("own", F.when(F.col("slices") > 1, own).otherwise(0))
+    met = met.select("t", "key", "fp", *names, "node", F.explode(F.when(F.col("slices") > 1, tiles).otherwise(F.array(F.lit(0).cast("long")))).alias("tile"))
+    sorted_groups = met.repartition(partitions(nodes.sparkSession), "t", "key", "tile").sortWithinPartitions("t", "key", "tile", "fp")
+    return sorted_groups.mapInPandas(links_in(distance, names, most), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", verify: tuple[int, float] | None = None, tile: int = 4096) -> DataFrame:
     """doc_id, fp (signed long) and component_id, the least doc_id that links of `distance` or fewer bits reach.
 
@@ -223,20 +242,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
     # nodes are named by their fingerprints, so that those without an id have names as well
     node = F.xxhash64("fp", *names) if names else F.col("fp")
     nodes = prints.groupBy("fp", *names).agg(F.min("doc_id").alias("least")).withColumn("node", node)
-    blocks = blocks_for(nodes.count(), distance)
-    masks = block_masks(blocks, blocks - distance)
-    keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)))).alias("k")
-    keyed = nodes.select("fp", *names, "node", keys).select("fp", *names, "node", "k.t", "k.key")
-    shared = keyed.groupBy("t", "key").count().where("count > 1")
-    met = keyed.join(shared, ["t", "key"])
-    # a key with more nodes than a tile holds: every pair of its slices is a tile of its own
-    slices = F.ceil(F.col("count") / tile).cast("long")
-    own = F.pmod(F.xxhash64("node", F.lit(8)), F.col("slices"))
-    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda s: F.least(s, F.col("own")) * 2_000_000_000 + F.greatest(s, F.col("own")))
-    met = met.withColumn("slices", slices).withColumn("own", F.when(F.col("slices") > 1, own).otherwise(0))
-    met = met.select("t", "key", "fp", *names, "node", F.explode(F.when(F.col("slices") > 1, tiles).otherwise(F.array(F.lit(0).cast("long")))).alias("tile"))
-    sorted_groups = met.repartition(partitions(spark), "t", "key", "tile").sortWithinPartitions("t", "key", "tile", "fp")
-    edges = sorted_groups.mapInPandas(links_in(distance, names, most), "a long, b long")
+    edges = fingerprint_links(nodes, distance, names, most, tile)
     named = nodes.join(connected_components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("fp", *names, "component_id")
