@@ -54,6 +54,30 @@ def test_band_pass_by_recording(spark):
         assert np.allclose(got[got.rec == r].sort_values("idx").x, want)
 
 
+def test_band_pass_of_many_short_recordings_and_long_ones(spark):
+    sections = filters.butterworth_sections(5, 1.0, 30.0, 256.0)
+    rng = np.random.default_rng(3)
+    lengths = [1, 2, 3, 30, 33, 34, 1900, 2049, 5000, *rng.integers(40, 100, 300)]
+    signals = [rng.normal(size=n).cumsum() for n in lengths]
+    for got, x in zip(filters.zero_phase_each(signals, sections), signals, strict=True):
+        assert (got == filters.zero_phase(x, sections)).all()
+    alone = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(filters, "zero_phase", lambda x, _: alone.append(len(x)) or x)
+        filters.zero_phase_each(signals, sections)
+    assert alone == [1, 2049, 5000]  # not one call a recording
+    rows = [(None if r == 4 else r, i, float(v), None if r == 7 and i == 1 else float(v), str(i)) for r, x in enumerate(signals[:40]) for i, v in enumerate(x)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "rec long, idx long, x double, y double, note string")
+    for most in (1, 700, 100_000):
+        got = filters.band_pass(df, {"x": (1.0, 30.0), "y": (1.0, 30.0)}, 256.0, most=most).toPandas()
+        assert len(got) == len(rows) and (got.note == got.idx.astype(str)).all()
+        for r, x in enumerate(signals[:40]):
+            mine = got[got.rec.isna() if r == 4 else got.rec == r].sort_values("idx")
+            want = filters.zero_phase(x, sections)
+            assert np.allclose(mine.x, want, atol=1e-9)
+            assert mine.y.isna().all() if r == 7 else np.allclose(mine.y, want, atol=1e-9)
+
+
 def test_first_component(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 3)) @ rng.normal(size=(3, 3))
