@@ -7,7 +7,7 @@ sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 o
 that share such a key are all the candidates there are, whatever the order. The first shingle that they share is even
 among the first n - ceil(2 t / (1 + t) n) + 1 of the smaller set, its head, as at least 2 t / (1 + t) n follow from there:
 keys that are in no node's head are dropped, and nodes of a key meet by classes of sizes. Keys are 48 bits of a hash; where they collide, sets decide. In each key every node is first compared
-with one other, in rounds, and only keys whose nodes are still in several components give pairs; keys of very many
+with one other, in rounds while these settle keys, and only keys whose nodes are still in several components give pairs; keys of very many
 nodes are cut into tiles. The pivot table holds each set's numbers of shingles in fixed classes, the distances to
 references in the metric of symmetric differences: by the triangle inequality a pair whose coordinates are too far
 apart cannot be similar and is discarded unverified; what is left meets a larger table, of classes in
@@ -37,6 +37,7 @@ from .simhash_dedup import fingerprint_links, majority, shingle_hashes
 PIVOTS = tuple(f"p{i}" for i in range(8))
 SLICE = 256  # texts whose sets a task holds at a time
 MOST_BROADCAST = 1_000_000  # ids; beyond it a shuffle join
+WORTH_A_ROUND = 0.9  # of the rows left by the round before
 MOST_MEMBERS = 512  # sets that one task compares with a hub's set; a hub of more has several tasks
 
 
@@ -334,13 +335,20 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
         tried, links = decided(by_pivots(pairs, nodes, similarity))
         # the rest, by shared keys
         state = keep(shared_keys(prints, similarity))
+        group, before = Window.partitionBy("key", "size"), None
         for i in range(rounds + 1):
-            state = keep(state.select("key", "size", "h", "n", "own", "head").join(joined(links), "h", "left").withColumn("c", F.coalesce("c", "h")))
-            one = F.min(F.struct(F.xxhash64("h", F.lit(i)), "h", "c", "n", "own", "head")).alias("one")
-            ends = state.groupBy("key", "size").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("count"), one).where("lo <> hi")
-            # read twice; what a later round needs is a part of it
-            state = keep(state.join(ends.select("key", "size", "count", "one"), ["key", "size"]))
-            if i < rounds:
+            met = state.select("key", "size", "h", "n", "own", "head").join(joined(links), "h", "left").withColumn("c", F.coalesce("c", "h"))
+            one = F.min(F.struct(F.xxhash64("h", F.lit(i)), "h", "c", "n", "own", "head"))
+            # by windows: the rows are sent once a round, before the windows' structs are made, and written down once; they are read twice
+            met = met.repartition(partitions(spark), "key", "size")
+            ends = {"lo": F.min("c").over(group), "hi": F.max("c").over(group), "count": F.count("*").over(group), "one": one.over(group)}
+            left = keep(met.withColumns(ends).where("lo <> hi").drop("lo", "hi"))
+            keep.drop(state)
+            state, rows_left = left, left.count()
+            # a round that took few rows away is the last, as it costs what it would save
+            hubs = i < rounds and (before is None or rows_left < WORTH_A_ROUND * before)
+            before = rows_left
+            if hubs:
                 fit = (F.col("own") | F.col("one.own")) & (F.col("head") | (F.col("n") > F.col("one.n"))) & (F.col("one.head") | (F.col("one.n") > F.col("n")))
                 fit = fit & (F.least("n", "one.n") >= similarity * F.greatest("n", "one.n") - 1e-6) & (F.col("c") != F.col("one.c"))
                 pairs = state.where(fit).select(F.least("h", "one.h").alias("a"), F.greatest("h", "one.h").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
@@ -354,6 +362,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
                 near = cut.mapInPandas(pairs_in(similarity), "a long, b long, both long").distinct().join(tried, ["a", "b"], "left_anti")
             compared, found = decided(near)
             tried, links = tried.union(compared), links.union(found)
+            if not hubs:
+                break
         named = lambda c: nodes.select(F.col("h").alias(c), F.col("node").alias(f"node_{c}"))
         edges = links.join(named("a"), "a").join(named("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         component = connected_components(edges, keep=keep)
