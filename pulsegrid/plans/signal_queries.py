@@ -177,10 +177,4 @@ def band_pass(spark, sf_dir):
 @query()
 def peaks_distant(spark, sf_dir):
     """Peaks at least 4 samples apart, the highest first."""
-    import pandas as pd
-
-    def thin(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("idx")
-        return p.iloc[filters.keep_distant(p["idx"].to_numpy(), p["x"].to_numpy(), 4)]
-
-    return filters.local_maxima(samples(spark, sf_dir), "x").groupBy("rec").applyInPandas(thin, "rec long, idx long, x double")
+    return filters.distant(filters.local_maxima(samples(spark, sf_dir), "x"), 4)
