@@ -10,14 +10,9 @@ from .common import Scratch
 LINKS_A_TASK = 500_000
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
-
-
-def _star(directed: DataFrame) -> DataFrame:
-    """Each u with its neighbours v, and the least of u and them."""
-    least = directed.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return directed.join(least, "u")
+def _least(links: DataFrame) -> DataFrame:
+    """Of each u with a lesser neighbour, the least of them."""
+    return links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60, keep: Scratch | None = None) -> DataFrame:
@@ -32,10 +27,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60, keep: Scratch
         tasks = -(-links.count() // LINKS_A_TASK) or 1
         before = None
         for _ in range(most_rounds):
-            large = _star(_both_ways(links)).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
-            down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-            small = _star(down)
-            small = small.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
+            # a link holds its greater end first, so one way is enough: large stars hang u's greater neighbours on u's least, small stars the lesser
+            large = links.join(_least(links), F.col("b") == F.col("u"), "left").select("a", F.coalesce("m", "b").alias("b"))
+            least = _least(large)
+            small = large.join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
             links = own(small.coalesce(tasks).distinct().coalesce(tasks))
             now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
             if tuple(now) == before:

@@ -69,21 +69,24 @@ def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, rank: np.n
 
 
 def common_shingles(rows: DataFrame, shingle: int, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of about `sample` texts share, ascending, and their ranks by number. They only set the order."""
+    """Shingles that several of about `sample` texts share, or of a twentieth of the rows if they are more, ascending, and
+    their ranks by number. They only set the order. A fixed share of the rows finds what so many rows share in any table."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for batch in batches:
-            for text in batch["text"].unique():
-                hashes = shingle_set(text, shingle)
-                yield pd.DataFrame({"key": hashes.view(np.int64), "h": np.full(len(hashes), set_hash(hashes))})
+            sets = {set_hash(s): s for s in (shingle_set(t, shingle) for t in batch["text"].unique())}
+            yield pd.DataFrame({"key": np.concatenate([np.empty(0, np.uint64), *(s for h, s in sets.items() if h not in seen)]).view(np.int64)})
+            seen |= sets.keys()
 
-    share = sample / max(rows.count(), sample)
+    n = rows.count()
+    share = max(sample, n / 20) / max(n, sample, 1)
     some = rows.select("text").where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
-    counts = some.mapInPandas(read, "key long, h long").distinct().groupBy("key").count().where("count > 3")
-    got = counts.orderBy(F.desc("count"), "key").limit(most).collect()
-    keys = np.array([r.key for r in got], np.int64).view(np.uint64)
+    counts = some.mapInPandas(read, "key long").groupBy("key").count().where("count > 3")
+    got = counts.orderBy(F.desc("count"), "key").limit(most).toArrow()
+    keys = got["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], np.array([r["count"] for r in got], np.int64)[order]
+    return keys[order], got["count"].to_numpy()[order]
 
 
 def pivots(hashes: np.ndarray) -> np.ndarray:
@@ -317,7 +320,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     with Scratch(spark) as keep:
-        prints = keep(prints_of(rows, shingle, similarity, *common_shingles(rows, shingle, sample, 50_000)))
+        prints = keep(prints_of(rows, shingle, similarity, *common_shingles(rows, shingle, sample, 100_000)))
         nodes = keep(prints.groupBy("h").agg(F.min("doc_id").alias("node"), *(F.max(c).alias(c) for c in ("n", "fp", "sketch", *PIVOTS))).where("node is not null"))
 
         def decided(near: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -326,6 +329,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
             return compared, keep(verified(compared, rows, nodes, shingle, similarity, keep))
 
         def joined(links: DataFrame) -> DataFrame:
+            """(h, c) of the nodes that have links: as links, all that the next round needs of those before it."""
             return connected_components(links, keep=keep).select(F.col("node").alias("h"), F.col("component").alias("c"))
 
         # fingerprints within a few bits, and the sets of each of their components compared with one of it
@@ -337,7 +341,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
         state = keep(shared_keys(prints, similarity))
         group, before = Window.partitionBy("key", "size"), None
         for i in range(rounds + 1):
-            met = state.select("key", "size", "h", "n", "own", "head").join(joined(links), "h", "left").withColumn("c", F.coalesce("c", "h"))
+            stars = joined(links)
+            few = F.broadcast if stars.count() <= MOST_BROADCAST else (lambda x: x)
+            met = state.select("key", "size", "h", "n", "own", "head").join(few(stars), "h", "left").withColumn("c", F.coalesce("c", "h"))
             one = F.min(F.struct(F.xxhash64("h", F.lit(i)), "h", "c", "n", "own", "head"))
             # by windows: the rows are sent once a round, before the windows' structs are made, and written down once; they are read twice
             met = met.repartition(partitions(spark), "key", "size")
@@ -361,7 +367,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
                 cut = cut.join(nodes.select("h", *PIVOTS), "h").repartition(partitions(spark), "key", "size", "tile").sortWithinPartitions("key", "size", "tile")
                 near = cut.mapInPandas(pairs_in(similarity), "a long, b long, both long").distinct().join(tried, ["a", "b"], "left_anti")
             compared, found = decided(near)
-            tried, links = tried.union(compared), links.union(found)
+            tried, links = tried.union(compared), stars.select(F.col("h").alias("a"), F.col("c").alias("b")).union(found)
             if not hubs:
                 break
         named = lambda c: nodes.select(F.col("h").alias(c), F.col("node").alias(f"node_{c}"))
