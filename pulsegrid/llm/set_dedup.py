@@ -7,8 +7,10 @@ sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 o
 that share such a key are all the candidates there are, whatever the order. The first shingle that they share is even
 among the first n - ceil(2 t / (1 + t) n) + 1 of the smaller set, its head, as at least 2 t / (1 + t) n follow from there:
 keys that are in no node's head are dropped, and nodes of a key meet by classes of sizes. Keys are 48 bits of a hash; where they collide, sets decide. In each key every node is first compared
-with one other, in rounds while these settle keys, and only keys whose nodes are still in several components give pairs; keys of very many
-nodes are cut into tiles. The pivot table holds each set's numbers of shingles in fixed classes, the distances to
+with one other, in rounds while these settle keys. In larger keys that are left, each component is then compared with its
+nearest in the pivot table, in rounds while these find links, so that a node is not paired with all of a component that it
+belongs to. Only keys whose nodes are still in several components give all their pairs; keys of very many nodes are cut
+into tiles. The pivot table holds each set's numbers of shingles in fixed classes, the distances to
 references in the metric of symmetric differences: by the triangle inequality a pair whose coordinates are too far
 apart cannot be similar and is discarded unverified; what is left meets a larger table, of classes in
 proportion to the set. All others are decided by their shingle sets.
@@ -36,8 +38,11 @@ from .simhash_dedup import fingerprint_links, majority, shingle_hashes
 #: The pivot table's columns: numbers of shingles in eight classes each, a byte for each class.
 PIVOTS = tuple(f"p{i}" for i in range(8))
 SLICE = 256  # texts whose sets a task holds at a time
+SLICES = 10_000_000  # a key has fewer
 MOST_BROADCAST = 1_000_000  # ids; beyond it a shuffle join
 WORTH_A_ROUND = 0.9  # of the rows left by the round before
+LARGE = 32  # nodes of a key; components of larger ones are first joined through their nearest
+NEAREST, MOST_NEAREST = 4, 16  # pairs of a component in the first such round, and in later ones
 MOST_MEMBERS = 512  # sets that one task compares with a hub's set; a hub of more has several tasks
 
 
@@ -177,10 +182,10 @@ def within(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray, simil
     return sizes & (np.abs(a - b).sum(1) <= (1 - similarity) / (1 + similarity) * (n_a + n_b) + 1e-6)
 
 
-def pairs_of_group(group: np.ndarray, component: np.ndarray, n: np.ndarray, own: np.ndarray, head: np.ndarray, table: np.ndarray, similarity: float, block: int = 40_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs_of_group(group: np.ndarray, component: np.ndarray, n: np.ndarray, own: np.ndarray, head: np.ndarray, table: np.ndarray, similarity: float, part: np.ndarray | None = None, block: int = 40_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of the same group and of different components that size and pivots do not rule out, one of them at least of
-    the group's own class of sizes, with the key in the smaller set's head (in both, if they are equal in size); rows
-    are sorted by group."""
+    the group's own class of sizes, with the key in the smaller set's head (in both, if they are equal in size), and of
+    different parts, if there are parts; rows are sorted by group."""
     size = np.diff(np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])).max(initial=1)
     rows = np.arange(len(group))
     for step in range(1, size):
@@ -190,12 +195,34 @@ def pairs_of_group(group: np.ndarray, component: np.ndarray, n: np.ndarray, own:
             i = rows[at : at + block]
             j = i + step
             keep = (component[i] != component[j]) & (own[i] | own[j]) & (head[i] | (n[i] > n[j])) & (head[j] | (n[j] > n[i])) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
+            keep &= part is None or part[i] != part[j]
             i, j = i[keep], j[keep]
             keep = within(n[i], n[j], table[i], table[j], similarity)
             if keep.any():
                 yield i[keep], j[keep]
 
 
+def nearest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], of: np.ndarray, n: np.ndarray, table: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the pairs of rows, the `most` of each component `of` whose pivots are the least apart for their sizes; not many more are held."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def best() -> tuple[np.ndarray, ...]:
+        i, j, apart = map(np.concatenate, zip(*held, strict=True))
+        ends, keep = np.r_[of[i], of[j]], np.zeros(len(i), bool)
+        order = np.lexsort((np.r_[apart, apart], ends))
+        first = np.flatnonzero(np.r_[True, ends[order][1:] != ends[order][:-1]])
+        place = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+        keep[order[place < most] % len(i)] = True
+        return i[keep], j[keep], apart[keep]
+
+    for i, j in pairs:
+        held.append((i, j, np.abs(table[i] - table[j]).sum(1) / (n[i] + n[j])))
+        if sum(len(x[0]) for x in held) > 2 * most * len(of) + 200_000:
+            held = [best()]
+    if held:
+        yield best()[:2]
+
+
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Rows sorted by keys, in frames that end where a group ends."""
     rest: list[pd.DataFrame] = []
@@ -215,13 +242,20 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[p
         yield pd.concat(rest)
 
 
-def pairs_in(similarity: float):
+def pairs_in(similarity: float, most: int | None = None):
+    """mapInPandas over rows sorted by group: all its pairs, or `most` of each component of a group. Where two slices meet,
+    the pairs within one of them are left to its own tile."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in whole_groups(batches, ["key", "size", "tile"]):
             keys = rows[["key", "size", "tile"]].to_numpy()
             group = np.r_[0, np.cumsum((keys[1:] != keys[:-1]).any(1))]
-            h, n, table = rows["h"].to_numpy(), rows["n"].to_numpy(), table_of(rows, list(PIVOTS))
-            for i, j in pairs_of_group(group, rows["c"].to_numpy(), n, rows["own"].to_numpy(bool), rows["head"].to_numpy(bool), table, similarity):
+            h, n, table, tile = rows["h"].to_numpy(), rows["n"].to_numpy(), table_of(rows, list(PIVOTS)), rows["tile"].to_numpy()
+            part = np.where(tile // SLICES != tile % SLICES, rows["slice"].to_numpy(), -1 - np.arange(len(rows)))
+            pairs = pairs_of_group(group, rows["c"].to_numpy(), n, rows["own"].to_numpy(bool), rows["head"].to_numpy(bool), table, similarity, part)
+            if most:
+                pairs = nearest(pairs, np.unique(np.c_[group, rows["c"].to_numpy()], axis=0, return_inverse=True)[1].ravel(), n, table, most)
+            for i, j in pairs:
                 yield pd.DataFrame({"a": np.minimum(h[i], h[j]), "b": np.maximum(h[i], h[j]), "both": n[i] + n[j]})
 
     return run
@@ -332,6 +366,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
             """(h, c) of the nodes that have links: as links, all that the next round needs of those before it."""
             return connected_components(links, keep=keep).select(F.col("node").alias("h"), F.col("component").alias("c"))
 
+        def small(table: DataFrame) -> DataFrame:
+            return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
+
         # fingerprints within a few bits, and the sets of each of their components compared with one of it
         alike = connected_components(fingerprint_links(nodes.select("fp", F.col("fp").alias("node")).distinct(), distance), keep=keep)
         alike = nodes.select("h", "fp").join(alike.select(F.col("node").alias("fp"), "component"), "fp", "left").select("h", F.coalesce("component", "fp").alias("of"))
@@ -340,10 +377,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
         # the rest, by shared keys
         state = keep(shared_keys(prints, similarity))
         group, before = Window.partitionBy("key", "size"), None
+        named_by = lambda rows, stars: rows.join(small(stars), "h", "left").withColumn("c", F.coalesce("c", "h"))
         for i in range(rounds + 1):
             stars = joined(links)
-            few = F.broadcast if stars.count() <= MOST_BROADCAST else (lambda x: x)
-            met = state.select("key", "size", "h", "n", "own", "head").join(few(stars), "h", "left").withColumn("c", F.coalesce("c", "h"))
+            met = named_by(state.select("key", "size", "h", "n", "own", "head"), stars)
             one = F.min(F.struct(F.xxhash64("h", F.lit(i)), "h", "c", "n", "own", "head"))
             # by windows: the rows are sent once a round, before the windows' structs are made, and written down once; they are read twice
             met = met.repartition(partitions(spark), "key", "size")
@@ -352,24 +389,46 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
             keep.drop(state)
             state, rows_left = left, left.count()
             # a round that took few rows away is the last, as it costs what it would save
-            hubs = i < rounds and (before is None or rows_left < WORTH_A_ROUND * before)
+            if i == rounds or (before is not None and rows_left >= WORTH_A_ROUND * before):
+                break
             before = rows_left
-            if hubs:
-                fit = (F.col("own") | F.col("one.own")) & (F.col("head") | (F.col("n") > F.col("one.n"))) & (F.col("one.head") | (F.col("one.n") > F.col("n")))
-                fit = fit & (F.least("n", "one.n") >= similarity * F.greatest("n", "one.n") - 1e-6) & (F.col("c") != F.col("one.c"))
-                pairs = state.where(fit).select(F.least("h", "one.h").alias("a"), F.greatest("h", "one.h").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-                near = by_pivots(pairs, nodes, similarity)
-            else:
-                slices = F.ceil(F.col("count") / tile).cast("int")
-                own = F.pmod(F.xxhash64("h", F.lit(8)), F.col("slices")).cast("int")
-                tiles = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.least(s, F.col("slice")).cast("long") * 10_000_000 + F.greatest(s, F.col("slice")))
-                cut = state.withColumn("slices", slices).withColumn("slice", own).select("key", "size", "h", "c", "n", "own", "head", F.explode(tiles).alias("tile"))
-                cut = cut.join(nodes.select("h", *PIVOTS), "h").repartition(partitions(spark), "key", "size", "tile").sortWithinPartitions("key", "size", "tile")
-                near = cut.mapInPandas(pairs_in(similarity), "a long, b long, both long").distinct().join(tried, ["a", "b"], "left_anti")
-            compared, found = decided(near)
+            fit = (F.col("own") | F.col("one.own")) & (F.col("head") | (F.col("n") > F.col("one.n"))) & (F.col("one.head") | (F.col("one.n") > F.col("n")))
+            fit = fit & (F.least("n", "one.n") >= similarity * F.greatest("n", "one.n") - 1e-6) & (F.col("c") != F.col("one.c"))
+            pairs = state.where(fit).select(F.least("h", "one.h").alias("a"), F.greatest("h", "one.h").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+            compared, found = decided(by_pivots(pairs, nodes, similarity))
+            tried, links = tried.union(compared), stars.select(F.col("h").alias("a"), F.col("c").alias("b")).union(found)
+
+        slices = F.ceil(F.col("count") / tile).cast("int")
+        rows_of = lambda of: of.select("key", "size", "h", "c", "n", "own", "head", slices.alias("slices"))
+
+        def paired(cut: DataFrame, most: int | None = None) -> DataFrame:
+            """Pairs (a, b, both) of the rows of a tile that were not compared; cut has the slice of each row, and its tile."""
+            cut = cut.drop("slices").join(nodes.select("h", *PIVOTS), "h").repartition(partitions(spark), "key", "size", "tile").sortWithinPartitions("key", "size", "tile")
+            return cut.mapInPandas(pairs_in(similarity, most), "a long, b long, both long").distinct().join(tried, ["a", "b"], "left_anti")
+
+        # in large groups, each component's nearest first: their rows are sent once a round, dealt to other slices each time
+        last, large, most, turn = state, state.where(F.col("count") > LARGE), NEAREST, 0
+        while not large.isEmpty():
+            own = F.pmod(F.xxhash64("h", F.lit(turn)), F.col("slices")).cast("int")
+            cut = rows_of(large).withColumn("slice", own).withColumn("tile", F.col("slice").cast("long") * (SLICES + 1))
+            compared, found = decided(paired(cut, most))
             tried, links = tried.union(compared), stars.select(F.col("h").alias("a"), F.col("c").alias("b")).union(found)
-            if not hubs:
+            asked, got = compared.count(), found.count()
+            if got:
+                stars = joined(links)
+                now = named_by(state.where(F.col("count") > LARGE).drop("c", "one"), stars)
+                several = now.groupBy("key", "size").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "size")
+                large = keep(now.join(several, ["key", "size"], "left_semi"))
+                last = named_by(state.where(F.col("count") <= LARGE).drop("c", "one"), stars).unionByName(large)
+            if most >= MOST_NEAREST and 10 * got <= asked:
                 break
+            most, turn = MOST_NEAREST, turn + 1
+
+        # all pairs of what is left
+        own = F.pmod(F.xxhash64("h", F.lit(8)), F.col("slices")).cast("int")
+        tiles = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.least(s, F.col("slice")).cast("long") * SLICES + F.greatest(s, F.col("slice")))
+        _, found = decided(paired(rows_of(last).withColumn("slice", own).withColumn("tile", F.explode(tiles))))
+        links = stars.select(F.col("h").alias("a"), F.col("c").alias("b")).union(found)
         named = lambda c: nodes.select(F.col("h").alias(c), F.col("node").alias(f"node_{c}"))
         edges = links.join(named("a"), "a").join(named("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         component = connected_components(edges, keep=keep)
