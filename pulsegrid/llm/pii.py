@@ -11,6 +11,7 @@ it is inside (cycle walking), which keeps the map one-to-one.
 
 from __future__ import annotations
 
+import secrets
 import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -280,15 +281,23 @@ def found(m: Column, key: Column) -> Column:
     return out.otherwise(F.struct(F.lit("card").alias("kind"), _card(m, key).alias("new")))
 
 
+#: Keys of applications on a cluster that set none, by application id; they are never written down.
+OWN_KEYS: dict[str, str] = {}
+
+
 def pii_key(spark: SparkSession) -> str:
-    """The secret in the session's spark.pulsegrid.pii.key. Without one, sessions on this machine get DEMO_KEY, which hides
-    nothing from readers of this file, and a warning; sessions on a cluster an error."""
+    """The secret in the session's spark.pulsegrid.pii.key. Without one there is a warning: sessions on this machine get
+    DEMO_KEY, which hides nothing from readers of this file, and those on a cluster a random key of their application, so
+    that equal values get equal pseudonyms within it, but not in another one."""
     key = spark.conf.get("spark.pulsegrid.pii.key", None)
-    if not key:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.pulsegrid.pii.key: without a secret key pseudonyms hide nothing")
+    if key:
+        return key
+    context = spark.sparkContext
+    if context.master.startswith("local"):
         warnings.warn("spark.pulsegrid.pii.key is not set: pseudonyms are made with a public key", stacklevel=2)
-    return key or DEMO_KEY
+        return DEMO_KEY
+    warnings.warn("spark.pulsegrid.pii.key is not set: pseudonyms are made with a random key of this application", stacklevel=2)
+    return OWN_KEYS.setdefault(context.applicationId, secrets.token_hex(32))
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
