@@ -99,33 +99,35 @@ def merge(piece: bytes, find) -> tuple[int, ...]:
 
 
 class Remembered(dict):
-    """Answers of the perfect hash for byte strings met while merging, up to a million of them."""
+    """Answers of `ask` by key. Of those before the last `most` new ones only the ones that were asked for again are held, so
+    that what comes often stays and a worker's memory does not follow the number of distinct keys."""
 
-    def __init__(self, find):
-        self.ask = find
+    def __init__(self, ask, most: int = 50_000):
+        self.ask, self.most, self.older = ask, most, {}
 
-    def __missing__(self, piece: bytes) -> int:
-        if len(self) >= 1_000_000:
+    def __missing__(self, key):
+        answer = self.older.pop(key, None)
+        if answer is None:
+            answer = self.ask(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        self[piece] = rank = self.ask(piece)
-        return rank
+        if len(key) <= 256:
+            self[key] = answer
+        return answer
 
 
-class Encoder(dict):
-    """Pre-token to its ranks; remembers up to half a million pre-tokens."""
+class Encoder(Remembered):
+    """Pre-token to its ranks."""
 
-    def __init__(self, table: PerfectHash, most: int = 500_000):
-        self.table, self.most, self.pairs = table, most, Remembered(table.find)
+    def __init__(self, table: PerfectHash, most: int = 50_000):
+        self.table, self.pairs = table, Remembered(table.find, most)
+        super().__init__(self.ranks, most)
 
-    def __missing__(self, token: str) -> tuple[int, ...]:
+    def ranks(self, token: str) -> tuple[int, ...]:
         piece = utf8(token)
         rank = self.table.find(piece)
-        ids = (rank,) if rank >= 0 else merge(piece, self.pairs.__getitem__ if len(piece) <= 256 else self.table.find)
-        if len(self) >= self.most:
-            self.clear()
-        if len(piece) <= 256:
-            self[token] = ids
-        return ids
+        return (rank,) if rank >= 0 else merge(piece, self.pairs.__getitem__ if len(piece) <= 256 else self.table.find)
 
 
 def encode(text: str | None, encoder: Encoder, cut) -> array:
