@@ -9,9 +9,8 @@ from __future__ import annotations
 
 import base64
 import heapq
-from array import array
 from collections.abc import Iterator
-from itertools import chain
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -102,7 +101,7 @@ class Remembered(dict):
     """Answers of `ask` by key. Of those before the last `most` new ones only the ones that were asked for again are held, so
     that what comes often stays and a worker's memory does not follow the number of distinct keys."""
 
-    def __init__(self, ask, most: int = 50_000):
+    def __init__(self, ask, most: int = 250_000):
         self.ask, self.most, self.older = ask, most, {}
 
     def __missing__(self, key):
@@ -118,22 +117,25 @@ class Remembered(dict):
 
 
 class Encoder(Remembered):
-    """Pre-token to its ranks."""
+    """Pre-token to its ranks, packed as unsigned 32-bit integers."""
 
-    def __init__(self, table: PerfectHash, most: int = 50_000):
+    def __init__(self, table: PerfectHash, most: int = 250_000):
         self.table, self.pairs = table, Remembered(table.find, most)
         super().__init__(self.ranks, most)
 
-    def ranks(self, token: str) -> tuple[int, ...]:
+    def ranks(self, token: str) -> bytes:
         piece = utf8(token)
         rank = self.table.find(piece)
-        return (rank,) if rank >= 0 else merge(piece, self.pairs.__getitem__ if len(piece) <= 256 else self.table.find)
+        if rank >= 0:
+            return pack("I", rank)
+        ids = merge(piece, self.pairs.__getitem__ if len(piece) <= 256 else self.table.find)
+        return pack(f"{len(ids)}I", *ids)
 
 
-def encode(text: str | None, encoder: Encoder, cut) -> array:
+def encode(text: str | None, encoder: Encoder, cut) -> bytes:
     if not text:
-        return array("I")
-    return array("I", chain.from_iterable(map(encoder.__getitem__, (m.group() for m in cut.finditer(text)) if len(text) > 1_000_000 else cut.findall(text))))
+        return b""
+    return b"".join(map(encoder.__getitem__, (m.group() for m in cut.finditer(text)) if len(text) > 1_000_000 else cut.findall(text)))
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
